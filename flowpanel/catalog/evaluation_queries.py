@@ -258,19 +258,23 @@ def to_sequences(i: Inputs):
     return sequences.select("source", "home_id", "doy", F.posexplode("seq").alias("step", "usage"))
 
 
+def _pairs(i: Inputs):
+    return dtw.sample_pairs(dtw.sample_sequences(i.traces(), keys=("home_id", "doy")), keys=("home_id", "doy"))
+
+
 @query("sample_pairs")
 def sample_pairs(i: Inputs):
-    return dtw.sample_pairs(_sequences(i), seq_id="seq_id").drop("seq_a", "seq_b")
+    return _pairs(i).drop("seq_a", "seq_b")
 
 
 @query("dtw_pairs")
 def dtw_pairs(i: Inputs):
-    return dtw.dtw_pairs(dtw.sample_pairs(_sequences(i), seq_id="seq_id"))
+    return dtw.dtw_pairs(_pairs(i))
 
 
 @query("dtw_summary")
 def dtw_summary(i: Inputs):
-    return dtw.dtw_summary(dtw.dtw_pairs(dtw.sample_pairs(_sequences(i), seq_id="seq_id")))
+    return dtw.dtw_summary(dtw.dtw_pairs(_pairs(i)))
 
 
 def _archetypes(i: Inputs):

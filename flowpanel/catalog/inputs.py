@@ -125,10 +125,12 @@ class Inputs:
         return enrich.enrich(self.readings(), self.locations(), self.weather(filled), ["cell"]).select(*_PANEL)
 
     def panel(self, filled: bool = False) -> DataFrame:
-        return self._staged(f"panel-{filled}", lambda: self.build_panel(filled))
+        # The join keeps the order of the readings.
+        return self._staged(f"panel-{filled}", lambda: self.build_panel(filled), ordered=False)
 
     def features(self) -> DataFrame:
-        return self._staged("features", lambda: features.build_features(self.panel(True), hot=self.hot()))
+        # The window plan leaves each partition sorted by series and time.
+        return self._staged("features", lambda: features.build_features(self.panel(True), hot=self.hot()), ordered=False)
 
     def stats(self) -> dict[str, float]:
         return self._once("stats", lambda: norm_stats_dict(stats.norm_stats(self.features())))

@@ -10,15 +10,20 @@ from pyspark.sql import types as T
 
 from flowpanel.catalog.inputs import Inputs, with_inputs
 
+# The operators as they are, for timing, and with rounded output, for comparison.
+PLAIN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int = 6):
+def query(name: str, sql: str | None = None, digits: int = 6, view: Callable[[DataFrame], DataFrame] | None = None):
+    """Register a query; `view` turns nested results into flat rows for the comparison."""
     def register(fn: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(Inputs(spark, sf_dir)), digits)
+            result = fn(Inputs(spark, sf_dir))
+            return rounded(view(result) if view else result, digits)
 
+        PLAIN[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = with_inputs(sql)

@@ -14,6 +14,23 @@ from flowpanel.schemas import C_IN, C_OUT, ROLLING_ROWS, SCALED_WEATHER, TEMP_LA
 _STATS = [f"{c}_{s}" for c in ["log", *SCALED_WEATHER] for s in ("mean", "std")]
 
 
+def _flat(df, x=("usage",)):
+    """Windows as one row per step, so that every element is compared."""
+    if len(x) == 1:
+        target = [F.col("x").alias("_x0")]
+    else:
+        target = [F.element_at("x", k + 1).alias(f"_x{k}") for k in range(len(x))]
+    rows = [F.element_at("c_in", k + 1).alias(f"_i{k}") for k in range(len(C_IN))]
+    outs = [F.element_at("c_out", k + 1).alias(f"_o{k}") for k in range(len(C_OUT))]
+    picked = df.select("series_id", "window_idx", "window_start", *target, *rows, *outs)
+    names = [f"_x{k}" for k in range(len(x))] + [f"_i{k}" for k in range(len(C_IN))] + [f"_o{k}" for k in range(len(C_OUT))]
+    exploded = picked.select("series_id", "window_idx", "window_start", F.posexplode(F.arrays_zip(*names)).alias("interval", "z"))
+    final = [*x, *C_IN, *C_OUT]
+    return exploded.select(
+        "series_id", "window_idx", "window_start", "interval", *[F.col(f"z.{n}").alias(c) for n, c in zip(names, final)]
+    )
+
+
 def _lag_sql(source: str, lags: dict[str, int]) -> str:
     lagged = ", ".join(f"lag({source}, {k}) OVER w AS {c}" for c, k in lags.items())
     return (f"SELECT series_id, date_time, {rs(*lags)} FROM (SELECT series_id, date_time, {lagged} FROM fx_panel "
@@ -58,29 +75,12 @@ def build_features(i: Inputs):
     return built.select("series_id", "meter_id", "date_time", "usage", *C_IN, *C_OUT)
 
 
-def _flat(df, x=("usage",)):
-    """Windows as one row per step, so that every element is compared."""
-    if len(x) == 1:
-        target = [F.col("x").alias("_x0")]
-    else:
-        target = [F.element_at("x", k + 1).alias(f"_x{k}") for k in range(len(x))]
-    rows = [F.element_at("c_in", k + 1).alias(f"_i{k}") for k in range(len(C_IN))]
-    outs = [F.element_at("c_out", k + 1).alias(f"_o{k}") for k in range(len(C_OUT))]
-    picked = df.select("series_id", "window_idx", "window_start", *target, *rows, *outs)
-    names = [f"_x{k}" for k in range(len(x))] + [f"_i{k}" for k in range(len(C_IN))] + [f"_o{k}" for k in range(len(C_OUT))]
-    exploded = picked.select("series_id", "window_idx", "window_start", F.posexplode(F.arrays_zip(*names)).alias("interval", "z"))
-    final = [*x, *C_IN, *C_OUT]
-    return exploded.select(
-        "series_id", "window_idx", "window_start", "interval", *[F.col(f"z.{n}").alias(c) for n, c in zip(names, final)]
-    )
-
-
 _STEP = "series_id, window_idx, window_start, interval"
 
 
-@query("day_windows", f"SELECT {_STEP}, {rs('usage', *C_IN, *C_OUT)} FROM fx_steps")
+@query("day_windows", f"SELECT {_STEP}, {rs('usage', *C_IN, *C_OUT)} FROM fx_steps", view=_flat)
 def day_windows(i: Inputs):
-    return _flat(windows.day_windows(i.features(), hot=i.hot()))
+    return windows.day_windows(i.features(), hot=i.hot())
 
 
 @query("sliding_windows", """
@@ -176,11 +176,11 @@ def normalize_weather(i: Inputs):
 @query("training_tensors", f"""
 SELECT {_STEP}, CASE WHEN usage > 0 THEN 1e0 ELSE 0e0 END AS mask, {r(_z('usage'), 'z')}, {rs(*schemas.CALENDAR)},
 {', '.join(r(_z(f's.{c}'), c) for c in schemas.USAGE_LAGS)}, {', '.join(r(_weather_z(c), c) for c in C_OUT)}
-FROM fx_steps s, fx_stats""")
+FROM fx_steps s, fx_stats""", view=lambda df: _flat(df, ("mask", "z")))
 def training_tensors(i: Inputs):
     """From the readings to model input: panel, features, encoding, windows."""
     built = features.build_features(access.filter_years(i.build_panel(True)), hot=i.hot())
-    return _flat(windows.training_tensors(built, i.stats(), i.hot()), ("mask", "z"))
+    return windows.training_tensors(built, i.stats(), i.hot())
 
 
 @query("finite_windows", "SELECT DISTINCT series_id, window_idx, window_start FROM fx_steps")

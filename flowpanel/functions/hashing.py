@@ -21,9 +21,12 @@ def uniform(seed: int, *keys) -> Column:
 
 
 def normal(seed: int, *keys) -> Column:
-    """A standard normal by the Box-Muller transform of two hashed uniforms."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(seed, F.lit("radius"), *keys)))
-    return radius * F.cos(F.lit(2 * math.pi) * uniform(seed, F.lit("angle"), *keys))
+    """A standard normal by the Box-Muller transform of the two halves of one hash."""
+    h = hash_key(seed, *keys)
+    step = F.lit(2.0**-32)
+    first = (F.shiftrightunsigned(h, 32) + 1).cast("double") * step
+    second = h.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double") * step
+    return F.sqrt(F.lit(-2.0) * F.log(first)) * F.cos(F.lit(2 * math.pi) * second)
 
 
 def pick(seed: int, n, *keys) -> Column:

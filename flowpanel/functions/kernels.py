@@ -3,6 +3,16 @@
 import numpy as np
 
 
+# Pairs are warped in blocks whose diagonals stay in the processor cache.
+BLOCK_CELLS = 32768
+
+
+def _blocks(rows, n, m, band):
+    widest = min(n, m) if band is None else min(n, m, band + 1)
+    size = max(16, BLOCK_CELLS // widest)
+    return [rows[k : k + size] for k in range(0, len(rows), size)]
+
+
 def _by_length(lefts, rights):
     """Row positions grouped by the pair of sequence lengths."""
     groups = {}
@@ -56,11 +66,12 @@ def _warp(x, y, band, keep_steps):
 def dtw_distances(lefts, rights, band):
     """Warping distance per pair; NaN where no path stays inside the band."""
     out = np.full(len(lefts), np.nan)
-    for rows in _by_length(lefts, rights).values():
-        x = np.stack([np.asarray(lefts[r], dtype=float) for r in rows])
-        y = np.stack([np.asarray(rights[r], dtype=float) for r in rows])
-        cost, _, _ = _warp(x, y, band, keep_steps=False)
-        out[rows] = np.where(np.isfinite(cost), cost, np.nan)
+    for (n, m), group in _by_length(lefts, rights).items():
+        for rows in _blocks(group, n, m, band):
+            x = np.stack([np.asarray(lefts[r], dtype=float) for r in rows])
+            y = np.stack([np.asarray(rights[r], dtype=float) for r in rows])
+            cost, _, _ = _warp(x, y, band, keep_steps=False)
+            out[rows] = np.where(np.isfinite(cost), cost, np.nan)
     return out
 
 
@@ -96,14 +107,18 @@ def barycenter_sums(sequences, centroid, band):
     for s in sequences:
         if s is not None and len(s):
             lengths.setdefault(len(s), []).append(np.asarray(s, dtype=float))
-    for group in lengths.values():
-        y = np.stack(group)
-        x = np.broadcast_to(np.asarray(centroid, dtype=float), (len(group), len(centroid)))
-        _, cells = dtw_paths(x, y, band)
-        rows = np.arange(len(group))
-        for i, j, live in cells:
-            np.add.at(total, i[live], y[rows, j][live])
-            np.add.at(count, i[live], 1)
+    for length, group in lengths.items():
+        for block in _blocks(group, len(centroid), length, band):
+            y = np.stack(block)
+            x = np.broadcast_to(np.asarray(centroid, dtype=float), (len(block), len(centroid)))
+            _, cells = dtw_paths(x, y, band)
+            if not cells:
+                continue
+            live = np.stack([c[2] for c in cells])
+            i = np.stack([c[0] for c in cells])[live]
+            values = np.stack([y[np.arange(len(block)), c[1]] for c in cells])[live]
+            total += np.bincount(i, weights=values, minlength=len(centroid))
+            count += np.bincount(i, minlength=len(centroid))
     return total, count
 
 
@@ -117,12 +132,12 @@ def gaussian_noise_estimate(x, t, alpha_hat, batch):
     return np.sqrt(1 - alpha_hat) * (x - np.sqrt(alpha_hat) * mu) / (alpha_hat * var + 1 - alpha_hat)
 
 
-def reverse_diffusion(batch, keys, betas, seed, temperature, predictor):
-    """Denoise one sample per key from step T-1 to 0; noise is off in the last step.
+# Noise is drawn for this many steps at a time, and rows are denoised in blocks of this size.
+NOISE_STEPS = 50
+BLOCK_ROWS = 128
 
-    Each row owns a counter-based generator keyed by (seed, key), so its trace does not depend
-    on the batch it lands in.
-    """
+
+def _denoise_block(batch, keys, betas, seed, temperature, predictor):
     alphas = 1 - betas
     alphas_hat = np.cumprod(alphas)
     shape = batch["mu"].shape[1:]
@@ -130,14 +145,36 @@ def reverse_diffusion(batch, keys, betas, seed, temperature, predictor):
         np.random.Generator(np.random.Philox(key=[np.uint64(seed), np.uint64(key & 0xFFFFFFFFFFFFFFFF)]))
         for key in keys
     ]
+    noise = np.empty((len(keys), NOISE_STEPS, *shape))
+    left = 0
 
     def draw():
-        return np.stack([s.standard_normal(shape) for s in streams])
-
-    x = draw()
+        nonlocal left
+        if left == 0:
+            for stream, rows in zip(streams, noise):
+                stream.standard_normal(out=rows)
+            left = NOISE_STEPS
+        left -= 1
+        return noise[:, NOISE_STEPS - 1 - left]
+
+    x = draw().copy()
     for t in range(len(betas) - 1, -1, -1):
-        noise = predictor(x, t, alphas_hat[t], batch)
-        x = (x - (1 - alphas[t]) / np.sqrt(1 - alphas_hat[t]) * noise) / np.sqrt(alphas[t])
+        estimate = predictor(x, t, alphas_hat[t], batch)
+        x = (x - (1 - alphas[t]) / np.sqrt(1 - alphas_hat[t]) * estimate) / np.sqrt(alphas[t])
         if t > 0:
-            x = x + np.sqrt(betas[t]) * temperature * draw()
+            x += np.sqrt(betas[t]) * temperature * draw()
     return x
+
+
+def reverse_diffusion(batch, keys, betas, seed, temperature, predictor):
+    """Denoise one sample per key from step T-1 to 0; noise is off in the last step.
+
+    Each row owns a counter-based generator keyed by (seed, key), so its trace does not depend
+    on the batch it lands in.
+    """
+    done = []
+    for k in range(0, len(keys), BLOCK_ROWS):
+        rows = slice(k, k + BLOCK_ROWS)
+        block = {name: values[rows] for name, values in batch.items()}
+        done.append(_denoise_block(block, keys[rows], betas, seed, temperature, predictor))
+    return np.concatenate(done)

@@ -10,7 +10,7 @@ from flowpanel.functions import kernels
 from flowpanel.functions.hashing import hash_key, pick
 from flowpanel.operators.compare import REAL, SYNTHETIC
 from flowpanel.operators.sampling import sample_homes
-from flowpanel.session import materialize
+from flowpanel.session import materialize, spread
 
 # Fixed values of the evaluation.
 BAND = 8
@@ -45,17 +45,36 @@ def dtw_distance(left, right, band: int | None = BAND) -> Column:
     return F.when(~F.isnan(raw), raw)
 
 
+def sample_sequences(
+    traces: DataFrame, groups: tuple[str, ...] = (), keys: tuple[str, ...] = ("home_id",),
+    n_sample: int = N_SAMPLE, seed: int = 42, time: str = "time", value: str = "usage",
+) -> DataFrame:
+    """Up to `n_sample` sequences per group and source, numbered by `_k`.
+
+    Keys are drawn first, so only the rows of the drawn sequences are collected into arrays.
+    """
+    whole = [*groups, "source", *keys]
+    order = Window.partitionBy(*groups, "source").orderBy(hash_key(seed, *whole), *keys)
+    drawn = (
+        traces.select(*whole).distinct()
+        .withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n_sample)
+    )
+    # At most n_sample keys per group and source.
+    rows = traces.join(F.broadcast(drawn), whole)
+    return to_sequences(rows, (*whole, "_k"), time, value)
+
+
 def sample_pairs(
-    sequences: DataFrame, groups: tuple[str, ...] = (), seq_id: str = "home_id",
-    n_pairs: int = N_PAIRS, n_sample: int = N_SAMPLE, seed: int = 42,
+    sampled: DataFrame, groups: tuple[str, ...] = (), keys: tuple[str, ...] = ("home_id",),
+    n_pairs: int = N_PAIRS, seed: int = 42,
 ) -> DataFrame:
-    """`n_pairs` random pairs per comparison, with replacement, from up to `n_sample` sequences
-    per source. Self-pairs occur, as they do when both ends are drawn independently."""
-    spark = sequences.sparkSession
-    order = Window.partitionBy(*groups, "source").orderBy(hash_key(seed, *groups, "source", seq_id), seq_id)
-    ranked = sequences.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n_sample)
-    # At most n_sample sequences per group and source from here on.
-    chosen = materialize(ranked.select(*groups, "source", seq_id, "seq", "_k"), "dtw-sample")
+    """`n_pairs` random pairs per comparison, with replacement, of sampled sequences.
+
+    Both sides draw from as many sequences as the smaller source has. Self-pairs occur, as they
+    do when both ends are drawn independently.
+    """
+    spark = sampled.sparkSession
+    chosen = materialize(sampled, "dtw-sample")
     per_source = chosen.groupBy(*groups, "source").agg(F.count(F.lit(1)).alias("_n"))
     sizes = per_source.groupBy(*groups).agg(F.min("_n").alias("_n"), F.count(F.lit(1)).alias("_sources"))
     kinds = spark.createDataFrame([(k, a, b) for k, (a, b) in COMPARISONS.items()], "comparison string, _a string, _b string")
@@ -74,7 +93,7 @@ def sample_pairs(
     def end(side: str) -> DataFrame:
         return chosen.select(
             *groups, F.col("source").alias(f"_{side}"), F.col("_k").alias(f"_k{side}"),
-            F.col(seq_id).alias(f"id_{side}"), F.col("seq").alias(f"seq_{side}"),
+            F.concat_ws("/", *keys).alias(f"id_{side}"), F.col("seq").alias(f"seq_{side}"),
         )
 
     return (
@@ -86,8 +105,8 @@ def sample_pairs(
 def dtw_pairs(pairs: DataFrame, band: int | None = BAND) -> DataFrame:
     """Distance of every pair; the pairs are spread evenly, whatever their groups."""
     rest = [c for c in pairs.columns if c not in ("seq_a", "seq_b")]
-    spread = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "comparison", "pair_id")
-    return spread.select(*rest, dtw_distance("seq_a", "seq_b", band).alias("distance"))
+    even = spread(pairs, "comparison", "pair_id")
+    return even.select(*rest, dtw_distance("seq_a", "seq_b", band).alias("distance"))
 
 
 def dtw_summary(distances: DataFrame, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -106,7 +125,7 @@ def dba_archetype(
     stay where they are. The first centroid is the sequence with the smallest seeded hash.
     """
     spark = sequences.sparkSession
-    kept = materialize(sequences.select(*keys, seq_id, "seq"), "dba-sequences")
+    kept = materialize(spread(sequences.select(*keys, seq_id, "seq"), *keys, seq_id), "dba-sequences")
     start = kept.groupBy(*keys).agg(F.min_by("seq", F.struct(hash_key(seed, *keys, seq_id), F.col(seq_id))).alias("seq"))
     # One centroid per key (sources, or sources x months).
     centroids = {tuple(r[k] for k in keys): [float(v) for v in r["seq"]] for r in start.collect()}
@@ -208,8 +227,8 @@ def monthly_dtw(
 ) -> DataFrame:
     """The pair distances of every month at once: the month is a grouping key, not a loop."""
     monthly = traces if "month" in traces.columns else traces.withColumn("month", F.month(time))
-    chosen = sample_homes(monthly, homes, seed, ("month", "source"))
+    # At most `homes` keys per month and source.
+    chosen = F.broadcast(sample_homes(monthly, homes, seed, ("month", "source")))
     kept = monthly.join(chosen, ["month", "source", "home_id"], "left_semi")
-    sequences = to_sequences(kept, ("month", "source", "home_id"), time)
-    pairs = sample_pairs(sequences, ("month",), n_pairs=n_pairs, seed=seed)
+    pairs = sample_pairs(sample_sequences(kept, ("month",), seed=seed, time=time), ("month",), n_pairs=n_pairs, seed=seed)
     return dtw_summary(dtw_pairs(pairs, band), ("month",))

@@ -12,6 +12,7 @@ from flowpanel.functions import hurdle, kernels
 from flowpanel.functions.calendar import cycle as angle_of
 from flowpanel.functions.hashing import hash_key, normal, pick, uniform
 from flowpanel.schemas import C_OUT, STEPS_PER_DAY
+from flowpanel.session import spread
 
 # Fixed values of the noise schedule and of sampling.
 T = 1000
@@ -38,18 +39,18 @@ def with_schedule(df: DataFrame, schedule: DataFrame, t: str = "t") -> DataFrame
 def forward_noise(tensors: DataFrame, schedule: DataFrame, seed: int = 42, steps: int = T) -> DataFrame:
     """Noised training pairs: `t` uniform in [0, T), `x_t = sqrt(a) x0 + sqrt(1 - a) eps`."""
     timed = tensors.withColumn("t", pick(seed, steps, "series_id", "window_idx").cast("int"))
-    keys = ("series_id", "window_idx")
+    keyed = timed.withColumn("_key", hash_key(seed, "series_id", "window_idx"))
 
     def noise_row(row: Column, channel: Column) -> Column:
-        return F.transform(row, lambda _, i: normal(seed, *keys, channel, i))
+        return F.transform(row, lambda _, i: normal(seed, "_key", channel, i))
 
-    noised = with_schedule(timed, schedule).withColumn("eps", F.transform("x", noise_row))
+    noised = with_schedule(keyed, schedule).withColumn("eps", F.transform("x", noise_row))
     signal, spread = F.sqrt("alpha_hat"), F.sqrt(1 - F.col("alpha_hat"))
 
     def mix(x_row: Column, e_row: Column) -> Column:
         return F.zip_with(x_row, e_row, lambda x, e: signal * x + spread * e)
 
-    return noised.withColumn("x_t", F.zip_with("x", "eps", mix)).drop("beta", "alpha")
+    return noised.withColumn("x_t", F.zip_with("x", "eps", mix)).drop("beta", "alpha", "_key")
 
 
 def noise_mse(df: DataFrame, eps: str = "eps", predicted: str = "predicted") -> DataFrame:
@@ -162,9 +163,7 @@ def reverse_sample(
                 "x": [[list(map(float, channel)) for channel in trace] for trace in x],
             })
 
-    n = partitions or scenarios.sparkSession.sparkContext.defaultParallelism
-    spread = scenarios.select(sample_id, *names).repartition(n, sample_id)
-    return spread.mapInPandas(run, f"{sample_id} bigint, x array<array<double>>")
+    return spread(scenarios.select(sample_id, *names), sample_id, partitions=partitions).mapInPandas(run, f"{sample_id} bigint, x array<array<double>>")
 
 
 def decode_samples(samples: DataFrame, stats: dict[str, float], threshold: float = hurdle.GATE_GENERATED) -> DataFrame:

@@ -57,3 +57,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Distribute rows evenly before work that costs much per row.
+
+    Small tables arrive in few partitions, which would leave most cores idle; the number is the
+    larger of the cores and the shuffle partitions of the session.
+    """
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)

@@ -28,15 +28,15 @@ def unpivot_readings(wide: DataFrame, time: str = "date_time", series: list[str]
 
     One pass over the chosen columns; each wide row becomes one array that is exploded, so the
     generated code does not grow with the square of the column count as a projection per column
-    would.
+    would. Positions become names by a lookup as long as the column list.
     """
     names = series if series is not None else series_columns(wide, time)
-    ids = F.array(*[F.lit(c) for c in names])
+    ids = wide.sparkSession.createDataFrame(list(enumerate(names)), "_pos int, series_id string")
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
     return (
         wide.select(time, F.posexplode(values).alias("_pos", "usage"))
         .where(F.col("usage").isNotNull())
-        .select(F.get(ids, F.col("_pos")).alias("series_id"), time, "usage")
+        .join(F.broadcast(ids), "_pos")
         .select("series_id", id_prefix("series_id").alias("meter_id"), time, "usage")
     )
 

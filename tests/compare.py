@@ -5,7 +5,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -25,43 +24,27 @@ def duck(sf_dir: str):
     return con
 
 
-def normal(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else (0.0 if value == 0 else value)
-    return value
-
-
 def difference(spark_df, con, sql: str) -> str | None:
-    """None when rows, column names and values agree."""
-    got, want = spark_df.toPandas(), con.execute(sql).df()
-    if sorted(got.columns) != sorted(want.columns):
-        return f"columns {sorted(got.columns)} != {sorted(want.columns)}"
-    if len(got) != len(want):
-        return f"rows {len(got)} != {len(want)}"
-    columns = sorted(got.columns)
-    a, b = ({c: df[c].tolist() for c in columns} for df in (got, want))
-
-    def key(value):
-        # NULL arrives as None, NaN or NaT, depending on the column type.
-        if value is None or value != value:
-            return "~"
-        value = normal(value)
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            return repr(float(value))
-        return str(value)
-
-    left = sorted(zip(*[[key(v) for v in a[c]] for c in columns])) if columns else []
-    right = sorted(zip(*[[key(v) for v in b[c]] for c in columns])) if columns else []
-    for x, y in zip(left, right):
-        if x != y:
-            n = sum(1 for p, q in zip(left, right) if p != q)
-            return f"{n} rows differ, first: {dict(zip(columns, x))} != {dict(zip(columns, y))}"
-    return type_difference(spark_df, con, sql)
+    """None when rows, column names, types and values agree."""
+    bad = type_difference(spark_df, con, sql)
+    if bad:
+        return bad
+    columns = ", ".join(f'"{c}"' for c in sorted(spark_df.columns))
+    con.register("got", spark_df.toArrow())
+    con.execute(f"CREATE OR REPLACE TEMP TABLE want AS SELECT {columns} FROM ({sql})")
+    n = con.execute("SELECT (SELECT count(*) FROM got), (SELECT count(*) FROM want)").fetchone()
+    if n[0] != n[1]:
+        return f"rows {n[0]} != {n[1]}"
+    extra = con.execute(f"SELECT {columns} FROM got EXCEPT ALL SELECT {columns} FROM want LIMIT 1").fetchall()
+    missing = con.execute(f"SELECT {columns} FROM want EXCEPT ALL SELECT {columns} FROM got LIMIT 1").fetchall()
+    return f"{columns}: {extra} != {missing}" if extra or missing else None
 
 
 def type_difference(spark_df, con, sql: str) -> str | None:
     names = {"VARCHAR": "string", "INTEGER": "int", "TIMESTAMP": "timestamp_ntz"}
     types = {row[0]: names.get(row[1], row[1].lower()) for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    if sorted(types) != sorted(spark_df.columns):
+        return f"columns {sorted(spark_df.columns)} != {sorted(types)}"
     bad = [f"{f.name}: {f.dataType.simpleString()} != {types[f.name]}" for f in spark_df.schema.fields
            if f.dataType.simpleString() != types[f.name]]
     return f"types {bad}" if bad else None
