@@ -52,5 +52,5 @@ def r(expression: str, name: str | None = None, digits: int = 6) -> str:
     return f"CASE WHEN {value} = 0 THEN 0e0 ELSE {value} END AS {name or expression}"
 
 
-def rs(*columns: str) -> str:
-    return ", ".join(r(c) for c in columns)
+def rs(*columns: str, digits: int = 6) -> str:
+    return ", ".join(r(c, digits=digits) for c in columns)

@@ -167,16 +167,16 @@ def _weather_z(c: str, table: str = "s") -> str:
     return f"{table}.{c}" if c == "snow_flag" else f"({table}.{c} - {c}_mean) / ({c}_std + 1e-6)"
 
 
-@query("normalize_weather", f"SELECT {_STEP}, {', '.join(r(_weather_z(c), c) for c in C_OUT)} FROM fx_steps s, fx_stats")
+@query("normalize_weather", f"SELECT {_STEP}, {', '.join(r(_weather_z(c), c, 5) for c in C_OUT)} FROM fx_steps s, fx_stats", digits=5)
 def normalize_weather(i: Inputs):
     scaled = i.windows().withColumn("c_out", hurdle.scale_outdoor(F.col("c_out"), i.stats()))
     return _flat(scaled).select("series_id", "window_idx", "window_start", "interval", *C_OUT)
 
 
 @query("training_tensors", f"""
-SELECT {_STEP}, CASE WHEN usage > 0 THEN 1e0 ELSE 0e0 END AS mask, {r(_z('usage'), 'z')}, {rs(*schemas.CALENDAR)},
-{', '.join(r(_z(f's.{c}'), c) for c in schemas.USAGE_LAGS)}, {', '.join(r(_weather_z(c), c) for c in C_OUT)}
-FROM fx_steps s, fx_stats""", view=lambda df: _flat(df, ("mask", "z")))
+SELECT {_STEP}, CASE WHEN usage > 0 THEN 1e0 ELSE 0e0 END AS mask, {r(_z('usage'), 'z', 5)}, {rs(*schemas.CALENDAR, digits=5)},
+{', '.join(r(_z(f's.{c}'), c, 5) for c in schemas.USAGE_LAGS)}, {', '.join(r(_weather_z(c), c, 5) for c in C_OUT)}
+FROM fx_steps s, fx_stats""", digits=5, view=lambda df: _flat(df, ("mask", "z")))
 def training_tensors(i: Inputs):
     """From the readings to model input: panel, features, encoding, windows."""
     built = features.build_features(access.filter_years(i.build_panel(True)), hot=i.hot())

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from flowpanel.functions.calendar import elapsed_seconds
-from flowpanel.plans.ordered import event_starts, over_series
+from flowpanel.plans.ordered import CHECK, event_starts, over_series, resolve_hot
 
 
-def autocorrelation(df: DataFrame, lag: int, hot: DataFrame | None = None, **split) -> DataFrame:
+def autocorrelation(df: DataFrame, lag: int, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
     """Correlation of usage with itself `lag` rows earlier, per series."""
     def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
         return rows.withColumn("_lagged", F.lag("usage", lag).over(w))
@@ -18,11 +18,11 @@ def autocorrelation(df: DataFrame, lag: int, hot: DataFrame | None = None, **spl
     return pairs.groupBy("series_id").agg(F.corr("usage", "_lagged").alias("autocorr"))
 
 
-def _with_starts(df: DataFrame, hot: DataFrame | None, **split) -> DataFrame:
+def _with_starts(df: DataFrame, hot: DataFrame | str | None, **split) -> DataFrame:
     return over_series(df, lambda rows, w: rows.withColumn("_start", event_starts("usage", w)), 1, hot=hot, **split)
 
 
-def burst_stats(df: DataFrame, hot: DataFrame | None = None, **split) -> DataFrame:
+def burst_stats(df: DataFrame, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
     """Flow events per series: how many, how often per day, how long, and the highest peak.
 
     An event starts where flow follows no flow, so events are counted by their starts and need
@@ -38,8 +38,9 @@ def burst_stats(df: DataFrame, hot: DataFrame | None = None, **split) -> DataFra
     )
 
 
-def interarrival(df: DataFrame, hot: DataFrame | None = None, **split) -> DataFrame:
+def interarrival(df: DataFrame, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
     """Minutes between the starts of consecutive flow events of a series."""
+    hot = resolve_hot(df, hot, "series_id")
     starts = _with_starts(df, hot, **split).where("_start").select("series_id", "date_time")
 
     def add(rows: DataFrame, w: WindowSpec) -> DataFrame:

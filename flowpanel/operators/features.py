@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from flowpanel.functions.calendar import cyclic_calendar
 from flowpanel.operators.access import drop_incomplete
-from flowpanel.plans.ordered import over_series
+from flowpanel.plans.ordered import CHECK, over_series
 from flowpanel.schemas import CALENDAR, ROLLING_ROWS, TEMP_LAG_ROWS, USAGE_LAG_ROWS
 
 GDD_BASE_C = 10.0
@@ -73,22 +73,22 @@ def rolling_sources(widths: dict[str, int] | None = None) -> dict[str, tuple[Col
     }
 
 
-def add_lags(df: DataFrame, source: str, lags: dict[str, int], hot: DataFrame | None = None, **split) -> DataFrame:
+def add_lags(df: DataFrame, source: str, lags: dict[str, int], hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
     return over_series(
         df, lambda rows, w: rows.withColumns(lag_columns(w, source, lags)), max(lags.values()), hot=hot, **split
     )
 
 
-def lag_temp(df: DataFrame, hot: DataFrame | None = None, **split) -> DataFrame:
+def lag_temp(df: DataFrame, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
     return add_lags(df, "temp_c", TEMP_LAG_ROWS, hot, **split)
 
 
-def lag_usage(df: DataFrame, hot: DataFrame | None = None, **split) -> DataFrame:
+def lag_usage(df: DataFrame, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
     return add_lags(df, "usage", USAGE_LAG_ROWS, hot, **split)
 
 
 def rolling_sums(
-    df: DataFrame, widths: dict[str, int] | None = None, hot: DataFrame | None = None, **split
+    df: DataFrame, widths: dict[str, int] | None = None, hot: DataFrame | str | None = CHECK, **split
 ) -> DataFrame:
     sources = rolling_sources(widths)
     lookback = max(width for _, width in sources.values())
@@ -96,7 +96,7 @@ def rolling_sums(
 
 
 def build_features(
-    panel: DataFrame, time: str = "date_time", hot: DataFrame | None = None, complete_only: bool = True, **split
+    panel: DataFrame, time: str = "date_time", hot: DataFrame | str | None = CHECK, complete_only: bool = True, **split
 ) -> DataFrame:
     """All 19 features with one shuffle and one sort by (series, time).
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from flowpanel.functions import hurdle
 from flowpanel.functions.calendar import elapsed_seconds
-from flowpanel.plans.ordered import RN, number_rows
-from flowpanel.schemas import C_IN, C_OUT, STEP_MINUTES, STEPS_PER_DAY
+from flowpanel.plans.ordered import CHECK, RN, number_rows, resolve_hot
+from flowpanel.schemas import C_IN, C_OUT, CALENDAR, STEP_MINUTES, STEPS_PER_DAY, USAGE_LAGS
 
 
 def project_window_cols(features: DataFrame, keys: tuple[str, ...] = ("series_id", "date_time", "usage")) -> DataFrame:
@@ -29,7 +29,7 @@ def _cut(
     rows: DataFrame, key: str, time: str, x: list[str], c_in: list[str], c_out: list[str],
     size: int, stride: int, step_minutes: int,
 ) -> DataFrame:
-    values = [*x, *c_in, *c_out]
+    values = list(dict.fromkeys([*x, *c_in, *c_out]))
     grouped = (
         rows.select(key, time, RN, *values, _window_idx(size, stride).alias("window_idx"))
         .groupBy(key, "window_idx")
@@ -61,7 +61,7 @@ def _cut(
 def day_windows(
     features: DataFrame, key: str = "series_id", time: str = "date_time", x: str | list[str] = "usage",
     c_in: list[str] | None = None, c_out: list[str] | None = None, size: int = STEPS_PER_DAY,
-    stride: int | None = None, step_minutes: int = STEP_MINUTES, hot: DataFrame | None = None,
+    stride: int | None = None, step_minutes: int = STEP_MINUTES, hot: DataFrame | str | None = CHECK,
 ) -> DataFrame:
     """Gap-free windows of `size` rows, counted from the first row of each series.
 
@@ -76,6 +76,8 @@ def day_windows(
     step = stride or size
     rest = (key, time, x, c_in, c_out, size, step, step_minutes)
 
+    hot = resolve_hot(features, hot, key)
+
     def number(rows: DataFrame) -> DataFrame:
         return rows.withColumn(RN, F.row_number().over(Window.partitionBy(key).orderBy(time)).cast("bigint"))
 
@@ -114,8 +116,6 @@ def encode_windows(windows: DataFrame, stats: dict[str, float], masked: bool = T
 
 def encode_rows(features: DataFrame, stats: dict[str, float], masked: bool = True) -> DataFrame:
     """The same encoding on feature rows, before they are cut: plain columns stay in generated code."""
-    from flowpanel.schemas import CALENDAR, USAGE_LAGS
-
     mean, std = stats["log_mean"], stats["log_std"]
     usage = F.col("usage")
     return features.select(
@@ -128,7 +128,7 @@ def encode_rows(features: DataFrame, stats: dict[str, float], masked: bool = Tru
     )
 
 
-def training_tensors(features: DataFrame, stats: dict[str, float], hot: DataFrame | None = None) -> DataFrame:
+def training_tensors(features: DataFrame, stats: dict[str, float], hot: DataFrame | str | None = CHECK) -> DataFrame:
     """Feature rows to finite training tensors in one shuffle."""
     return finite_windows(day_windows(encode_rows(features, stats), x=["mask", "z"], hot=hot))
 

@@ -21,6 +21,9 @@ BUCKET_ROWS = 250_000
 
 RN, BUCKET = "_rn", "_bucket"
 
+# The default of every ordered operator: count the rows per series before choosing the plan.
+CHECK = "check"
+
 
 def hot_series(df: DataFrame, key: str = "series_id", max_rows: int = MAX_SERIES_ROWS) -> DataFrame | None:
     """The keys with more than `max_rows` rows, or None when there are none.
@@ -35,6 +38,10 @@ def hot_series(df: DataFrame, key: str = "series_id", max_rows: int = MAX_SERIES
     return materialize(hot, "hot-series")
 
 
+def resolve_hot(df: DataFrame, hot: DataFrame | str | None, key: str) -> DataFrame | None:
+    return hot_series(df, key) if isinstance(hot, str) else hot
+
+
 def number_rows(df: DataFrame, key: str, time: str) -> DataFrame:
     """Add `_rn`, the 1-based position in time order, with no task larger than one series-day.
 
@@ -73,18 +80,19 @@ def _bucketed(
 def over_series(
     df: DataFrame, add: Callable[[DataFrame, WindowSpec], DataFrame], lookback: int,
     key: str = "series_id", time: str = "date_time",
-    hot: DataFrame | None = None, bucket_rows: int = BUCKET_ROWS,
+    hot: DataFrame | str | None = CHECK, bucket_rows: int | None = None,
 ) -> DataFrame:
     """Apply `add(rows, window)`, whose frames reach at most `lookback` rows back.
 
-    `add` must keep all input columns. `hot` comes from `hot_series`; None means that every
-    series fits one task.
+    `add` must keep all input columns. The long series are looked up first, unless the caller
+    passes the result of `hot_series` on a table that covers `df` (None: there are none).
     """
+    hot = resolve_hot(df, hot, key)
     series_window = Window.partitionBy(key).orderBy(time)
     if hot is None:
         return add(df, series_window)
     cold = add(df.join(hot, key, "left_anti"), series_window)
-    split = _bucketed(df.join(hot, key, "left_semi"), add, lookback, key, time, bucket_rows)
+    split = _bucketed(df.join(hot, key, "left_semi"), add, lookback, key, time, bucket_rows or BUCKET_ROWS)
     return cold.unionByName(split)
 
 
