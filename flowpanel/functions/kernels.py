@@ -55,6 +55,7 @@ def _warp(x, y, band, keep_steps):
                 if keep_steps:
                     step = np.where(diagonal == best, 0, np.where(left == best, 1, 2)).astype(np.int8)
         else:
+            new[:] = np.inf
             step = np.zeros((pairs, 0), dtype=np.int8)
         if keep_steps:
             firsts.append(lo)
