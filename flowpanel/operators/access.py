@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowpanel.functions.calendar import instant_literal, year_range
+from flowpanel.plans.ordered import keep_ids
 
 IN_LIST_LIMIT = 1000
 
@@ -30,12 +31,12 @@ def get_panel_subset(panel: DataFrame, meter_ids, start, end, time: str = "date_
     DataFrame of ids) a semi join."""
     rows = _between(panel, start, end, time)
     if isinstance(meter_ids, DataFrame):
-        rows = rows.join(meter_ids.select("meter_id"), "meter_id", "left_semi")
+        rows = keep_ids(rows, meter_ids.select("meter_id"), ["meter_id"])
     elif len(meter_ids) <= IN_LIST_LIMIT:
         rows = rows.where(F.col("meter_id").isin(list(meter_ids)))
     else:
         ids = panel.sparkSession.createDataFrame([(i,) for i in meter_ids], "meter_id string")
-        rows = rows.join(ids, "meter_id", "left_semi")
+        rows = keep_ids(rows, ids, ["meter_id"])
     return rows.orderBy("meter_id", time)
 
 
@@ -67,4 +68,4 @@ def order_panel(panel: DataFrame, time: str = "date_time") -> DataFrame:
 
 
 def semi_join_ids(df: DataFrame, ids: DataFrame, keys: tuple[str, ...] = ("source", "home_id")) -> DataFrame:
-    return df.join(ids, list(keys), "left_semi")
+    return keep_ids(df, ids, list(keys))

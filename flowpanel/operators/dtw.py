@@ -10,6 +10,7 @@ from flowpanel.functions import kernels
 from flowpanel.functions.hashing import hash_key, pick
 from flowpanel.operators.compare import REAL, SYNTHETIC
 from flowpanel.operators.sampling import sample_homes
+from flowpanel.plans.ordered import keep_ids
 from flowpanel.session import materialize, spread
 
 # Fixed values of the evaluation.
@@ -229,6 +230,6 @@ def monthly_dtw(
     monthly = traces if "month" in traces.columns else traces.withColumn("month", F.month(time))
     # At most `homes` keys per month and source.
     chosen = F.broadcast(sample_homes(monthly, homes, seed, ("month", "source")))
-    kept = monthly.join(chosen, ["month", "source", "home_id"], "left_semi")
+    kept = keep_ids(monthly, chosen, ["month", "source", "home_id"])
     pairs = sample_pairs(sample_sequences(kept, ("month",), seed=seed, time=time), ("month",), n_pairs=n_pairs, seed=seed)
     return dtw_summary(dtw_pairs(pairs, band), ("month",))

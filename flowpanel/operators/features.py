@@ -42,11 +42,13 @@ def _usable(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), value)
 
 
-def _add_rolling(df: DataFrame, w: WindowSpec, sources: dict[str, tuple[Column, int]]) -> DataFrame:
+def _add_rolling(
+    df: DataFrame, w: WindowSpec, sources: dict[str, tuple[Column, int]], also: dict[str, Column] | None = None
+) -> DataFrame:
     """Trailing sums as differences of running sums: the cost does not grow with the width.
 
     Partial frames at the start of a series are summed as they are; a frame with a missing
-    value gives NULL.
+    value gives NULL. `also` are other columns over `w`, computed in the same pass.
     """
     running = w.rowsBetween(Window.unboundedPreceding, 0)
     first = {}
@@ -54,7 +56,7 @@ def _add_rolling(df: DataFrame, w: WindowSpec, sources: dict[str, tuple[Column,
         usable = _usable(value)
         first[f"_s_{name}"] = F.sum(F.coalesce(usable, F.lit(0.0))).over(running)
         first[f"_m_{name}"] = F.sum(F.when(usable.isNull(), 1).otherwise(0)).over(running)
-    sums = df.withColumns(first)
+    sums = df.withColumns({**first, **(also or {})})
     out = {}
     for name, (_, width) in sources.items():
         total, missing = F.col(f"_s_{name}"), F.col(f"_m_{name}")
@@ -106,7 +108,7 @@ def build_features(
 
     def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
         lags = {**lag_columns(w, "temp_c", TEMP_LAG_ROWS), **lag_columns(w, "usage", USAGE_LAG_ROWS)}
-        return _add_rolling(rows.withColumns(lags), w, sources)
+        return _add_rolling(rows, w, sources, lags)
 
     lookback = max(max(USAGE_LAG_ROWS.values()), max(width for _, width in sources.values()))
     wide = over_series(panel, add, lookback, time=time, hot=hot, **split)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowpanel.functions import hurdle
 from flowpanel.functions.calendar import elapsed_seconds
-from flowpanel.plans.ordered import CHECK, RN, number_rows, resolve_hot
+from flowpanel.plans.ordered import CHECK, RN, keep_ids, number_rows, resolve_hot
 from flowpanel.schemas import C_IN, C_OUT, CALENDAR, STEP_MINUTES, STEPS_PER_DAY, USAGE_LAGS
 
 
@@ -83,8 +83,8 @@ def day_windows(
 
     if hot is None:
         return _cut(number(features), *rest)
-    cold = _cut(number(features.join(hot, key, "left_anti")), *rest)
-    split = _cut(number_rows(features.join(hot, key, "left_semi"), key, time), *rest)
+    cold = _cut(number(keep_ids(features, hot, [key], "left_anti")), *rest)
+    split = _cut(number_rows(keep_ids(features, hot, [key]), key, time), *rest)
     return cold.unionByName(split)
 
 

@@ -42,6 +42,11 @@ def resolve_hot(df: DataFrame, hot: DataFrame | str | None, key: str) -> DataFra
     return hot_series(df, key) if isinstance(hot, str) else hot
 
 
+def keep_ids(df: DataFrame, ids: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
+    """Semi (or anti) join that leaves the column order as it was."""
+    return df.join(ids, keys, how).select(*[f"`{c}`" for c in df.columns])
+
+
 def number_rows(df: DataFrame, key: str, time: str) -> DataFrame:
     """Add `_rn`, the 1-based position in time order, with no task larger than one series-day.
 
@@ -91,8 +96,8 @@ def over_series(
     series_window = Window.partitionBy(key).orderBy(time)
     if hot is None:
         return add(df, series_window)
-    cold = add(df.join(hot, key, "left_anti"), series_window)
-    split = _bucketed(df.join(hot, key, "left_semi"), add, lookback, key, time, bucket_rows or BUCKET_ROWS)
+    cold = add(keep_ids(df, hot, [key], "left_anti"), series_window)
+    split = _bucketed(keep_ids(df, hot, [key]), add, lookback, key, time, bucket_rows or BUCKET_ROWS)
     return cold.unionByName(split)
 
 

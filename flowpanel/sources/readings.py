@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowpanel.functions.ids import id_prefix
+from flowpanel.plans.ordered import keep_ids
 
 
 def scan_wide_readings(spark: SparkSession, path: str, view: str = "usage_view") -> DataFrame:
@@ -44,4 +45,4 @@ def unpivot_readings(wide: DataFrame, time: str = "date_time", series: list[str]
 def limit_series(df: DataFrame, n: int, key: str = "series_id") -> DataFrame:
     """Sanity mode: all rows of the first `n` series by name."""
     ids = df.select(key).distinct().orderBy(key).limit(n)
-    return df.join(ids, key, "left_semi")
+    return keep_ids(df, ids, [key])

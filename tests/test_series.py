@@ -203,6 +203,46 @@ def test_zoned_time_counts_elapsed_minutes(spark):
     assert late.select(calendar.elapsed_seconds(late, "t", F.col("t"), F.col("t"))).first()[0] == 0
 
 
+def test_zoned_asof_and_weather_json(spark):
+    from flowpanel.sources.weather import flatten_weather_json
+
+    utc = dt.timezone.utc
+    first = dt.datetime(2024, 11, 3, 6, tzinfo=utc)
+    times = [int((first + dt.timedelta(hours=h)).timestamp()) for h in range(4)]
+    body = '{"hourly":{"time":%s,"temperature_2m":[1.5,null,"x",4],"precipitation":[0,0,0,0.1],"snowfall":[0,0,0,0]}}' % times
+    raw = spark.createDataFrame([("p", body), ("p", '{"hourly":{"time":[]}}'), ("p", "{}"), ("p", None)], "place string, body string")
+    weather = flatten_weather_json(raw, keep=("place",)).withColumnRenamed("date_time", "wx_time")
+    assert weather.count() == 4
+    usage = spark.createDataFrame([("p", first + dt.timedelta(minutes=15 * k)) for k in range(-1, 20)], "place string, date_time timestamp")
+    got = enrich.asof_weather(usage, weather, ["place"]).orderBy("date_time").collect()
+    assert [r["temp_c"] for r in got] == [1.5] * 4 + [None] * 8 + [4.0] * 8
+    assert got[-1]["precip_mm"] == 0.1
+
+
+def test_access_lists_and_tables_agree(spark):
+    from flowpanel.operators import access
+
+    df = panel(spark, range(300), "a").unionByName(panel(spark, range(300), "b")).unionByName(panel(spark, range(300), "c"))
+    start, end = "2024-01-01 12:00:00", "2024-01-02 12:00:00"
+    ids_ = spark.createDataFrame([("a",), ("c",)], "meter_id string")
+    short = access.get_panel_subset(df, ["a", "c"], start, end)
+    assert short.count() == 2 * 97
+    assert short.exceptAll(access.get_panel_subset(df, ids_, start, end)).count() == 0
+    long = access.get_panel_subset(df, ["a", "c", *map(str, range(2000))], at(48), at(144))
+    assert short.exceptAll(long).count() == 0 and long.count() == short.count()
+    assert access.filter_years(df, 2023, 2023).count() == 0 and access.filter_years(df).count() == 900
+    assert access.get_time_range(df, start, end).count() == 3 * 97
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from flowpanel.operators import access
+
+    panel_source.write_panel(panel(spark, range(500)), str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    plan = access.filter_years(df).select("usage")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date_time" in plan and "ReadSchema: struct<date_time:timestamp_ntz,usage:double>" in plan
+
+
 def test_ids(spark):
     df = spark.createDataFrame([("123",), ("0123456789",), ("012345678901",)], "id string")
     got = [tuple(r) for r in df.select(ids.id_pad("id"), ids.id_strip_zeros("id")).collect()]
