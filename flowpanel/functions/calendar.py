@@ -1,5 +1,6 @@
 """Date and time expressions for zoned (TIMESTAMP) and local (TIMESTAMP_NTZ) columns."""
 
+import datetime as dt
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,12 @@ def is_local_time(df: DataFrame, time: str) -> bool:
 
 
 def instant_literal(df: DataFrame, time: str, value) -> Column:
-    """`value` as a literal of the type of column `time`; text is read in the session zone."""
+    """`value` as a literal of the type of column `time`.
+
+    Text and Python times without a zone are read in the session zone, not in that of the driver.
+    """
+    if isinstance(value, dt.datetime):
+        value = value.isoformat(sep=" ")
     return F.lit(value).cast(df.schema[time].dataType)
 
 

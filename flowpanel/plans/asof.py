@@ -37,12 +37,12 @@ def asof_backward(
     """
     local = isinstance(left.schema[left_time].dataType, T.TimestampNTZType)
     latest = (times if times is not None else left).agg(F.max(left_time).alias(left_time))
-    horizon = latest.select(_slot(left_time, slot_hours, local)).first()[0]
+    horizon = F.lit(latest.select(_slot(left_time, slot_hours, local)).first()[0]).cast("bigint")
     spans = (
         right.select(*by, F.col(right_time).alias("_from"), *values)
         .withColumn("_until", F.lead("_from").over(Window.partitionBy(*by).orderBy("_from")))
         .withColumn("_first", _slot("_from", slot_hours, local))
-        .withColumn("_last", F.least(F.coalesce(_slot("_until", slot_hours, local), F.lit(horizon)), F.lit(horizon)))
+        .withColumn("_last", F.least(F.coalesce(_slot("_until", slot_hours, local), horizon), horizon))
         .where(F.col("_first") <= F.col("_last"))
     )
     pieces = spans.agg(F.sum(F.col("_last") - F.col("_first") + 1)).first()[0] or 0

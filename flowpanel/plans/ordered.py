@@ -76,7 +76,6 @@ def _bucketed(
     rows = (
         number_rows(df, key, time)
         .withColumn(BUCKET, F.explode(F.when(feeds_next, F.array(own, own + 1)).otherwise(F.array(own))))
-        .repartition(key, BUCKET)
     )
     done = add(rows, Window.partitionBy(key, BUCKET).orderBy(RN))
     return done.where(F.col(BUCKET) == F.floor((F.col(RN) - 1) / size)).drop(BUCKET, RN)

@@ -339,6 +339,9 @@ def test_hot_series_spans_files_and_shards(spark, tmp_path):
     panel.shard_export(rows, str(tmp_path / "s"), 4)
     shards = spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().collect()
     assert len(shards) == 4 and max(r["count"] for r in shards) < 6000
+    panel.shard_export(rows, str(tmp_path / "t"), 2, files_per_shard=3)
+    parts = spark.read.parquet(str(tmp_path / "t")).groupBy("shard").agg(F.count_distinct("_metadata.file_name").alias("f")).collect()
+    assert len(parts) == 2 and all(r["f"] >= 2 for r in parts)
 
 
 def test_ingest_takes_each_file_once(spark, tmp_path):

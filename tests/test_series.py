@@ -187,6 +187,13 @@ def test_asof_null_measure_equal_time_and_first_rows(spark):
     assert [(r["date_time"], r["temp_c"]) for r in got] == [(at(4), 1.0), (at(6), None), (at(8), 3.0), (at(9), 3.0)]
 
 
+def test_asof_with_an_empty_side(spark):
+    u = spark.createDataFrame([("a", at(0))], "cell string, date_time timestamp_ntz")
+    w = spark.createDataFrame([("a", at(0), 1.0)], "cell string, wx_time timestamp_ntz, temp_c double")
+    for left, right in ((u.limit(0), w), (u, w.limit(0)), (u, w.where("wx_time > timestamp_ntz '2025-01-01'"))):
+        assert enrich.asof_weather(left, right, ["cell"], measures=["temp_c"]).count() == 0
+
+
 def test_zoned_time_counts_elapsed_minutes(spark):
     """In Denver the local hour from 1:00 repeats on 2024-11-03; instants do not care."""
     start = dt.datetime(2024, 11, 3, 6, tzinfo=dt.timezone.utc)  # local midnight
