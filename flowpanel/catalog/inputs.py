@@ -59,14 +59,11 @@ class Inputs:
         """Every user at every step of the days the events cover; zero where nothing happened.
         The hour from 5:00 is missing on some days."""
         events = self.table("events")
-        days = events.agg(F.date_trunc("day", F.min("ts")).alias("a"), F.date_trunc("day", F.max("ts")).alias("b"))
-        grid = (
-            events.select("user_id").distinct()
-            .join(F.broadcast(days))  # one row
-            .select("user_id", F.explode(F.expr(
-                "sequence(cast(a as timestamp_ntz), cast(b as timestamp_ntz) + interval '23:45' hour to minute, interval 15 minutes)"
-            )).alias("date_time"))
-        )
+        first_day = events.agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz")).scalar()
+        last_day = events.agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz")).scalar()
+        last_step = last_day + F.expr("INTERVAL '23:45' HOUR TO MINUTE")
+        steps = F.sequence(first_day, last_step, F.expr("INTERVAL 15 MINUTES"))
+        grid = events.select("user_id").distinct().select("user_id", F.explode(steps).alias("date_time"))
         cents = F.round(F.col("value") * 100).cast("bigint")
         flow = (
             events.where(F.col("value") >= 0)
