@@ -88,7 +88,10 @@ def base_failed() -> Column:
 
 
 def _value(rule: str) -> Column:
-    return F.expr(RULES[rule][0].replace(" / ", " / nullif(") + (")" if "/" in RULES[rule][0] else "")).cast("double")
+    """The rule's statistic; null when its denominator is zero."""
+    over, _, under = RULES[rule][0].partition(" / ")
+    value = F.col(over).cast("double")
+    return value / F.when(F.col(under) > 0, F.col(under)) if under else value
 
 
 def _bad(rule: str, cutoff: Column) -> Column:
