@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowpanel.session import new_path
@@ -40,6 +40,16 @@ def release(*tables: DataFrame | None) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def once(value: Column) -> Column:
+    """`value`, evaluated where it stands.
+
+    Spark moves filters (also those it infers from joins and explodes) below the columns they use
+    and repeats their definition there; inside a lambda that would cut a text into words for every
+    element. A column that counts as non-deterministic is left in its place.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

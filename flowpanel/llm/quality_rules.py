@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowpanel.llm.common import once
+
 SPACE = r"[\x20\x09-\x0D]"
 
 # name: (statistic, True when high values are bad, cutoffs from mild to strict)
@@ -70,7 +72,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), text.alias("t"))
     rows = rows.select(
         "doc_id", "stratum",
-        F.array_remove(F.split("t", SPACE + "+"), "").alias("w"),
+        once(F.array_remove(F.split("t", SPACE + "+"), "")).alias("w"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         (F.length("t") - F.regexp_count("t", F.lit(SPACE))).cast("bigint").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
@@ -115,7 +117,7 @@ def binomial_tail(hits: Column, n: Column, p: float) -> Column:
     return F.exp(F.aggregate(steps, zero, add, lambda acc: acc["total"]))
 
 
-def thresholds(stats: DataFrame, labels: DataFrame, max_false: float = 0.05, error: float = 0.05,
+def thresholds(stats: DataFrame, labels: DataFrame, max_false: float = 0.01, error: float = 0.05,
                id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
     """Rows (stratum, rule, cutoff, n_good, n_false, p_value) of the certified cutoffs.
 
