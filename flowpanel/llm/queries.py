@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpanel.llm import bpe, decontaminate, license_scan, quality_rules, secret_scan, token_files, url_filter
+from flowpanel.llm import bpe, decontaminate, license_scan, ngram_join, quality_rules, secret_scan, token_files, url_filter
 from flowpanel.llm.common import cut, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_rows(documents(spark, sf_dir), path, public_tokenizers.PATTERN, digests=True)
 
 
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
 @query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
