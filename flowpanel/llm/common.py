@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,17 @@ def text_chunks(batches: Iterator[pa.RecordBatch], ids: str, text: str) -> Itera
             yield keys[start:], own
 
 
+def packed(docs: DataFrame, ids: str, text: str) -> DataFrame:
+    """Rows (id, z): texts as zstd bytes, for shuffles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(3)
+        for keys, own in text_chunks(batches, "k", "t"):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([pack.compress(t) for t in own], pa.binary())], names=["id", "z"])
+
+    rows = docs.select(F.col(ids).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, "id bigint, z binary")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads all bits of unsigned 64-bit values."""
     x = x ^ (x >> np.uint64(31))

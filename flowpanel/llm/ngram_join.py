@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowpanel.llm.common import components, cut, mix64, release, text_chunks
+from flowpanel.llm.common import components, cut, mix64, packed, release, text_chunks
 
 WIDTH = 5
 THRESHOLD = (80, 100)  # intersection * 100 >= union * 80
@@ -103,16 +103,6 @@ def _frequencies(rows: DataFrame) -> np.ndarray:
     return total.reshape(-1)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts as zstd bytes, for shuffles and storage."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3)
-        for keys, own in text_chunks(batches, "k", "t"):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([pack.compress(t) for t in own], pa.binary())], names=["id", "z"])
-
-    return docs.mapInArrow(run, "id bigint, z binary")
-
-
 def _postings(texts: DataFrame, counts: np.ndarray, width: int, threshold: tuple[int, int]) -> DataFrame:
     """Rows (h, id, n, pos): the prefix of every set of more than no shingle."""
     shared = texts.sparkSession.sparkContext.broadcast(counts)
@@ -207,7 +197,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     same = distinct_ids.where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     counts = _frequencies(read)
     standing = classes.select("id").distinct()
-    texts = cut(_packed(rows).join(standing, "id", "left_semi"), "set-texts")
+    texts = cut(packed(rows, "k", "t").join(standing, "id", "left_semi"), "set-texts")
     posted = cut(_postings(texts, counts, width, threshold), "postings")
     # Lists of one entry link nothing. The leader of a list is the member of least priority.
     leader = F.min(F.struct(F.xxhash64("id").alias("p"), "id", "n", "pos")).alias("leader")
