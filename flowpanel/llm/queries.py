@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpanel.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, token_files, url_filter
+from flowpanel.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
 from flowpanel.llm.common import cut, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir), digests=True)
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
