@@ -81,12 +81,14 @@ def rule_verdict(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def grams(host: str, path: str) -> np.ndarray:
-    """Buckets of the character n-grams of host and path, each once."""
+    """Buckets of the character n-grams of host and path, of each and of both together, each once."""
     found = set()
-    for kind, s in (("h", f"^{host}$"), ("p", f"^{path}$")):
+    for kind, s in ((b"h", f"^{host}$"), (b"p", f"^{path}$")):
         b = s.encode()
         for n in GRAMS:
-            found.update(zlib.crc32(kind.encode() + b[i : i + n]) % BUCKETS for i in range(len(b) - n + 1))
+            for i in range(len(b) - n + 1):
+                found.add(zlib.crc32(kind + b[i : i + n]) % BUCKETS)
+                found.add(zlib.crc32(b"b" + b[i : i + n]) % BUCKETS)
     return np.fromiter(found, dtype=np.int64, count=len(found))
 
 
