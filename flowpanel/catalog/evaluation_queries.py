@@ -173,30 +173,37 @@ def adversarial_features(i: Inputs):
     return _features(i)
 
 
-@query("stratified_split", """
-WITH n AS (SELECT source, count(DISTINCT home_id) AS n FROM fx_traces GROUP BY 1)
-SELECT source, true AS is_train, CAST(floor(n * 0.8) AS BIGINT) AS n FROM n
-UNION ALL SELECT source, false, CAST(n - floor(n * 0.8) AS BIGINT) FROM n""")
+def _ranked(seed: int, rows: str) -> str:
+    """DuckDB text of the hash order within the sources."""
+    return f"""SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('{seed}/' || source || '/' || home_id)) - 1 AS k,
+  count(*) OVER (PARTITION BY source) AS n FROM ({rows})"""
+
+
+_HOMES = "SELECT DISTINCT source, home_id FROM fx_traces"
+
+
+@query("stratified_split", f"SELECT source, home_id, k < floor(n * 0.8) AS is_train FROM ({_ranked(42, _HOMES)})")
 def stratified_split(i: Inputs):
     homes = i.traces().select("source", "home_id").distinct()
-    split = adversarial.stratified_split(homes)
-    return split.groupBy("source", "is_train").agg(F.count(F.lit(1)).alias("n"))
+    return adversarial.stratified_split(homes)
 
 
-@query("stratified_kfold", """
-WITH h AS (SELECT source, home_id, row_number() OVER (PARTITION BY source ORDER BY home_id) - 1 AS k,
-                  count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, home_id FROM fx_traces))
-SELECT source, CAST(floor(k * 10 / n) AS INTEGER) AS fold, count(*) AS n FROM h GROUP BY 1, 2""")
+@query("stratified_kfold", f"SELECT source, home_id, CAST(floor(k * 10 / n) AS INTEGER) AS fold FROM ({_ranked(43, _HOMES)})")
 def stratified_kfold(i: Inputs):
     homes = i.traces().select("source", "home_id").distinct()
-    return adversarial.stratified_kfold(homes).groupBy("source", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return adversarial.stratified_kfold(homes)
+
+
+_TRAIN = "FILTER (k < floor(n * 0.8)) OVER ()"
 
 
 @query("normalize_predictors", f"""
-SELECT source, home_id, {', '.join(r(f'coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0)', c) for c in PREDICTORS)} FROM ({_FEATURES})""")
+SELECT source, home_id, {', '.join(r(f'coalesce(({c} - avg({c}) {_TRAIN}) / nullif(stddev_samp({c}) {_TRAIN}, 0), 0)', c) for c in PREDICTORS)}
+FROM ({_ranked(42, _FEATURES)})""")
 def normalize_predictors(i: Inputs):
-    rows = _features(i)
-    return adversarial.normalize_predictors(rows, rows)
+    """Scaled with the mean and deviation of the training rows of the same split."""
+    rows = adversarial.stratified_split(_features(i))
+    return adversarial.normalize_predictors(rows.where("is_train"), rows).drop("is_train")
 
 
 # The grids of the registered runs are small; the operators' defaults are the full ones.
@@ -278,7 +285,7 @@ def dtw_summary(i: Inputs):
 
 
 def _archetypes(i: Inputs):
-    return i._once("dba", lambda: dtw.dba_archetype(_sequences(i), seq_id="seq_id", iterations=5))
+    return i._once("dba", lambda: dtw.dba_archetype(_sequences(i), seq_id="seq_id"))
 
 
 @query("dba_archetype")

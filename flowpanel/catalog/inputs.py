@@ -163,7 +163,9 @@ class Inputs:
         """Path of the wide readings: one column per series, as the meters' source delivers them."""
         def write() -> str:
             path = new_path(self.spark, "wide")
-            self.readings().groupBy("date_time").pivot("series_id").agg(F.max("usage")).write.parquet(path)
+            # Named columns, as many as there are series: without names Spark stops at a fixed number.
+            ids = [r[0] for r in self.readings().select("series_id").distinct().orderBy("series_id").collect()]
+            self.readings().groupBy("date_time").pivot("series_id", ids).agg(F.max("usage")).write.parquet(path)
             return path
 
         return self._once("wide", write)

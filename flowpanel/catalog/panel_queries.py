@@ -19,8 +19,12 @@ _PANEL = f"{_READ}, {rs('usage', 'temp_c', 'precip_mm', 'snow_cm', 'lat', 'lon')
 # Sources and sinks.
 
 
-@query("scan_wide_readings", "SELECT * FROM (PIVOT (SELECT series_id, date_time, round(usage, 6) AS usage FROM fx_readings) "
-       "ON series_id USING max(usage) GROUP BY date_time)")
+def _long(wide):
+    """The wide rows as (series_id, date_time, usage), for the comparison."""
+    return readings.unpivot_readings(wide).select("series_id", "date_time", "usage")
+
+
+@query("scan_wide_readings", f"SELECT series_id, date_time, {r('usage')} FROM fx_readings", view=_long)
 def scan_wide_readings(i: Inputs):
     readings.scan_wide_readings(i.spark, i.wide(), "usage_view")
     return i.spark.table("usage_view")
@@ -45,16 +49,15 @@ def load_locations(i: Inputs):
 @query("scan_panel_dir", f"SELECT {_PANEL} FROM fx_panel")
 def scan_panel_dir(i: Inputs):
     root = i.scratch("panel-dir")
-    panel.write_panel(i.panel(), f"{root}/meters")
+    panel.write_panel(i.panel(), f"{root}/meter_panel")
     stats.panel_summary(i.panel()).write.parquet(f"{root}/summary")
-    schema = schemas.panel(i.panel().schema["date_time"].dataType)
-    return panel.scan_panel_dir(i.spark, f"{root}/meters", schema, "part-*.parquet")
+    return panel.scan_panel_dir(i.spark, root, schemas.panel(i.panel().schema["date_time"].dataType))
 
 
 @query("write_panel", f"SELECT {_PANEL} FROM fx_panel")
 def write_panel(i: Inputs):
     path = i.scratch("panel-out")
-    panel.write_panel(i.panel(), path, files=8)
+    panel.write_panel(i.panel(), path)
     return i.spark.read.parquet(path)
 
 
@@ -129,23 +132,32 @@ def row_count(i: Inputs):
     return windows.row_count(i.windows())
 
 
-@query("shard_export", f"SELECT series_id, window_idx, interval, {r('usage')} FROM fx_steps")
+_FLOAT_Z = "CAST(CAST(CASE WHEN usage > 0 THEN (ln(1e0 + usage) - log_mean) / (log_std + 1e-6) ELSE 0e0 END AS FLOAT) AS DOUBLE)"
+
+
+@query("shard_export", f"""
+SELECT series_id, window_idx, interval, CASE WHEN usage > 0 THEN 1e0 ELSE 0e0 END AS mask, {r(_FLOAT_Z, 'z', digits=4)}
+FROM fx_steps, fx_stats""", digits=4)
 def shard_export(i: Inputs):
+    """Encoded, finite tensors in single precision, written per worker and read back."""
     path = i.scratch("shards")
-    panel.shard_export(i.windows(), path, 8)
-    return windows.explode_windows(i.spark.read.parquet(path))
+    panel.shard_export(windows.as_float32(i.encoded()), path, 8)
+    steps = i.spark.read.parquet(path).select(
+        "series_id", "window_idx", F.posexplode(F.arrays_zip(F.col("x")[0].alias("m"), F.col("x")[1].alias("z"))).alias("interval", "v"))
+    return steps.select("series_id", "window_idx", "interval", F.col("v")["m"].cast("double").alias("mask"), F.col("v")["z"].cast("double").alias("z"))
 
 
 @query("incremental_ingest", f"SELECT {_PANEL} FROM fx_panel")
 def ingest(i: Inputs):
-    """Half of the months' days land first, the rest later; a third call finds nothing new."""
+    """Half of the months' days land first, the rest and a summary later; a third call finds nothing new."""
     landing, target, state = i.scratch("landing"), i.scratch("ingested"), i.scratch("ingest-state")
     rows = i.panel()
     schema = schemas.panel(rows.schema["date_time"].dataType)
     odd = F.dayofmonth("date_time") % 2 == 1
-    panel.write_panel(rows.where(odd), f"{landing}/first")
+    panel.write_panel(rows.where(odd), f"{landing}/meter_first")
     incremental_ingest(i.spark, landing, target, state, schema)
-    panel.write_panel(rows.where(~odd), f"{landing}/second")
+    panel.write_panel(rows.where(~odd), f"{landing}/meter_second")
+    stats.panel_summary(rows).write.parquet(f"{landing}/summary")
     incremental_ingest(i.spark, landing, target, state, schema)
     return incremental_ingest(i.spark, landing, target, state, schema)
 
@@ -379,7 +391,8 @@ def month_label(i: Inputs):
 
 
 @query("grid_key", """
-SELECT meter_id, 'lat_' || replace(CAST(round(lat, 4) AS VARCHAR), '.', 'p') || '_lon_' || replace(CAST(round(lon, 4) AS VARCHAR), '.', 'p')
+SELECT meter_id, 'lat_' || replace(regexp_replace(CAST(round(lat, 4) AS VARCHAR), '\\.0$', ''), '.', 'p')
+  || '_lon_' || replace(regexp_replace(CAST(round(lon, 4) AS VARCHAR), '\\.0$', ''), '.', 'p')
   || '_2024-01-01_2024-12-31' AS cache_key
 FROM fx_locations WHERE lat IS NOT NULL AND lon IS NOT NULL""")
 def grid_key(i: Inputs):

@@ -13,7 +13,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowpanel.functions.hashing import hash_key
 from flowpanel.operators.compare import SYNTHETIC
 from flowpanel.plans.ranks import hash_bucket, with_weight_before
 from flowpanel.session import materialize
@@ -30,8 +29,11 @@ def labelled(features: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, stratum: str, keys: list[str], seed: int) -> DataFrame:
-    """Rank in hash order within the stratum; the ranks of a large stratum come from many tasks."""
-    hashed = df.withColumn("_h", hash_key(seed, *keys))
+    """Rank in hash order within the stratum; the ranks of a large stratum come from many tasks.
+
+    The hash is the md5 of seed and keys joined by slashes, which other engines have too.
+    """
+    hashed = df.withColumn("_h", F.md5(F.concat_ws("/", F.lit(str(seed)), *keys)))
     return with_weight_before(hashed, [stratum], hash_bucket(F.col("_h")), ["_h", *keys]).drop("_h")
 
 

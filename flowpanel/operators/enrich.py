@@ -36,9 +36,13 @@ def grid_keys(lat: str = "lat", lon: str = "lon", digits: int = 4) -> list[Colum
 
 
 def grid_key_text(lat: str = "lat", lon: str = "lon", start: str | None = None, end: str | None = None) -> Column:
-    """The cache key of a rounded location (and date range) with `p` for the decimal point."""
+    """The cache key of a rounded location (and date range) with `p` for the decimal point.
+
+    A whole number has no decimal point: 40, not 40p0.
+    """
     def part(c: str) -> Column:
-        return F.regexp_replace(F.round(c, 4).cast("string"), "\\.", "p")
+        plain = F.regexp_replace(F.round(c, 4).cast("string"), "\\.0$", "")
+        return F.regexp_replace(plain, "\\.", "p")
 
     key = F.format_string("lat_%s_lon_%s", part(lat), part(lon))
     if start and end:

@@ -9,6 +9,7 @@ from flowpanel.functions import hurdle
 from flowpanel.functions.calendar import elapsed_seconds
 from flowpanel.plans.ordered import CHECK, RN, keep_ids, number_rows, resolve_hot
 from flowpanel.schemas import C_IN, C_OUT, CALENDAR, STEP_MINUTES, STEPS_PER_DAY, USAGE_LAGS
+from flowpanel.session import materialize
 
 
 def project_window_cols(features: DataFrame, keys: tuple[str, ...] = ("series_id", "date_time", "usage")) -> DataFrame:
@@ -83,6 +84,7 @@ def day_windows(
 
     if hot is None:
         return _cut(number(features), *rest)
+    features = materialize(features, "window-input")
     cold = _cut(number(keep_ids(features, hot, [key], "left_anti")), *rest)
     split = _cut(number_rows(keep_ids(features, hot, [key]), key, time), *rest)
     return cold.unionByName(split)

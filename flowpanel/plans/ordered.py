@@ -58,8 +58,10 @@ def number_rows(df: DataFrame, key: str, time: str) -> DataFrame:
     before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     in_day = Window.partitionBy(key, "_day").orderBy(time)
+    # NULL times are a day of their own, the first one, as they sort first in the ordinary plan.
+    same = dated[key].eqNullSafe(offsets[key]) & dated["_day"].eqNullSafe(offsets["_day"])
     return (
-        dated.join(offsets, [key, "_day"])
+        dated.join(offsets, same).drop(offsets[key]).drop(offsets["_day"])
         .withColumn(RN, F.col("_offset") + F.row_number().over(in_day))
         .drop("_day", "_offset")
     )
@@ -95,6 +97,7 @@ def over_series(
     series_window = Window.partitionBy(key).orderBy(time)
     if hot is None:
         return add(df, series_window)
+    df = materialize(df, "ordered-input")  # both plans and the counts read it; its lineage runs once
     cold = add(keep_ids(df, hot, [key], "left_anti"), series_window)
     split = _bucketed(keep_ids(df, hot, [key]), add, lookback, key, time, bucket_rows or BUCKET_ROWS)
     return cold.unionByName(split)

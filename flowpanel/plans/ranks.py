@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
 LOG_BUCKETS_PER_E = 4096
+MAX_LOG = 711.0  # above log1p of every finite double
 
 
 def value_bucket(value) -> Column:
-    """An order-preserving bucket of a finite double: log scale, 4096 buckets per factor e."""
+    """An order-preserving bucket of a double: log scale, 4096 buckets per factor e.
+
+    Infinities take the bucket beyond the largest finite value.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * LOG_BUCKETS_PER_E)).cast("int")
+    scale = F.least(F.log1p(F.abs(v)), F.lit(MAX_LOG))
+    return (F.signum(v) * F.floor(scale * LOG_BUCKETS_PER_E)).cast("int")
 
 
 def hash_bucket(hashed, bits: int = 14) -> Column:
-    """The leading bits of a 64-bit hash; sorts as the hash does."""
-    return F.shiftright(hashed, 64 - bits).cast("int")
+    """The leading bits (at most 16) of a hash in hexadecimal; sorts as the hash does."""
+    return F.shiftright(F.conv(F.substring(hashed, 1, 4), 16, 10).cast("int"), 16 - bits)
 
 
 def _window(groups: list[str]):
