@@ -5,11 +5,15 @@ import numpy as np
 
 # Pairs are warped in blocks whose diagonals stay in the processor cache.
 BLOCK_CELLS = 32768
+# Moves of all diagonals that a block may keep for its paths: one byte each, held twice.
+BLOCK_MOVES = 1 << 26
 
 
-def _blocks(rows, n, m, band):
+def _blocks(rows, n, m, band, keep_steps=False):
     widest = min(n, m) if band is None else min(n, m, band + 1)
     size = max(16, BLOCK_CELLS // widest)
+    if keep_steps:
+        size = max(1, min(size, BLOCK_MOVES // ((n + m) * widest)))
     return [rows[k : k + size] for k in range(0, len(rows), size)]
 
 
@@ -109,7 +113,7 @@ def barycenter_sums(sequences, centroid, band):
         if s is not None and len(s):
             lengths.setdefault(len(s), []).append(np.asarray(s, dtype=float))
     for length, group in lengths.items():
-        for block in _blocks(group, len(centroid), length, band):
+        for block in _blocks(group, len(centroid), length, band, keep_steps=True):
             y = np.stack(block)
             x = np.broadcast_to(np.asarray(centroid, dtype=float), (len(block), len(centroid)))
             _, cells = dtw_paths(x, y, band)

@@ -222,14 +222,30 @@ def thin_rows(path: DataFrame, groups: tuple[str, ...] = (), order: str = "pos",
     return path.withColumn("_k", F.row_number().over(w)).where(F.col("_k") % every == 0).drop("_k")
 
 
+def _month_homes(traces: DataFrame, homes: int, seed: int, time: str) -> DataFrame:
+    """The traces of at most `homes` drawn homes per month and source."""
+    monthly = traces if "month" in traces.columns else traces.withColumn("month", F.month(time))
+    chosen = F.broadcast(sample_homes(monthly, homes, seed, ("month", "source")))
+    return keep_ids(monthly, chosen, ["month", "source", "home_id"])
+
+
 def monthly_dtw(
     traces: DataFrame, homes: int = HOMES_PER_MONTH, n_pairs: int = N_PAIRS, band: int = BAND, seed: int = 42,
     time: str = "time",
 ) -> DataFrame:
     """The pair distances of every month at once: the month is a grouping key, not a loop."""
-    monthly = traces if "month" in traces.columns else traces.withColumn("month", F.month(time))
-    # At most `homes` keys per month and source.
-    chosen = F.broadcast(sample_homes(monthly, homes, seed, ("month", "source")))
-    kept = keep_ids(monthly, chosen, ["month", "source", "home_id"])
+    kept = _month_homes(traces, homes, seed, time)
     pairs = sample_pairs(sample_sequences(kept, ("month",), seed=seed, time=time), ("month",), n_pairs=n_pairs, seed=seed)
     return dtw_summary(dtw_pairs(pairs, band), ("month",))
+
+
+def monthly_archetypes(
+    traces: DataFrame, homes: int = HOMES_PER_MONTH, iterations: int = 20, band: int | None = None, seed: int = 42,
+    time: str = "time",
+) -> DataFrame:
+    """The archetype of every month and source: `month, source, step, value`.
+
+    `dtw_alignment_path` and `mapping_segments` with groups=("month",) align the two of a month.
+    """
+    sequences = to_sequences(_month_homes(traces, homes, seed, time), ("month", "source", "home_id"), time)
+    return dba_archetype(sequences, ("month", "source"), iterations=iterations, band=band, seed=seed)

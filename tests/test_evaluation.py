@@ -143,6 +143,51 @@ def test_pairs_and_monthly(spark):
     assert set(got) == set(dtw.COMPARISONS) and all(r["month"] == 1 and r["mean_distance"] >= 0 for r in got.values())
 
 
+def test_monthly_archetypes_and_alignment(spark):
+    """Equal homes within a month: the archetype is the home, and its alignment that of the two curves."""
+    curves = {(1, "Real"): [0.0, 0.0, 4.0], (1, "Synthetic"): [0.0, 4.0, 4.0],
+              (2, "Real"): [1.0, 2.0, 3.0, 9.0], (2, "Synthetic"): [1.0, 2.0, 3.0, 9.0]}
+    rows = [(f"h{k}", T0 + dt.timedelta(days=31 * (month - 1), minutes=15 * i), v, source, month)
+            for (month, source), curve in curves.items() for k in range(4) for i, v in enumerate(curve)]
+    t = spark.createDataFrame(rows, "home_id string, time timestamp_ntz, usage double, source string, month int")
+    arch = dtw.monthly_archetypes(t)
+    got = {}
+    for r in arch.orderBy("step").collect():
+        got.setdefault((r["month"], r["source"]), []).append(r["value"])
+    assert got == curves
+    path = dtw.dtw_alignment_path(arch, ("month",)).orderBy("month", "pos").collect()
+    cells = {m: [(r["index1"], r["index2"]) for r in path if r["month"] == m] for m in (1, 2)}
+    assert cells[2] == [(1, 1), (2, 2), (3, 3), (4, 4)] and cells[1][0] == (1, 1) and cells[1][-1] == (3, 3) and (3, 2) in cells[1]
+    assert {r["distance"] for r in path} == {0.0}
+    assert dtw.mapping_segments(dtw.dtw_alignment_path(arch, ("month",)), arch, ("month",)).count() == len(path)
+
+
+def test_infinity_has_a_place_in_the_order(spark):
+    from flowpanel.plans import ranks
+
+    inf = float("inf")
+    df = spark.createDataFrame([("a", v) for v in (-inf, -1e308, 0.0, 1e308, inf)], "g string, v double")
+    buckets = [r[0] for r in df.orderBy("v").select(ranks.value_bucket("v")).collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) == 5
+    assert ranks.exact_quantile(df, ["g"], "v", 0.5, "q").collect()[0]["q"] == 0.0
+
+
+def test_path_blocks_are_bounded_for_a_month_of_steps():
+    from flowpanel.functions import kernels
+
+    for n in (2976, 300):
+        size = max(map(len, kernels._blocks(list(range(2000)), n, n, None, keep_steps=True)))
+        assert size * 2 * n * n <= kernels.BLOCK_MOVES
+    x = [np.arange(40.0) % 7 for _ in range(30)]
+    whole = kernels.barycenter_sums(x, x[0], None)
+    old, kernels.BLOCK_MOVES = kernels.BLOCK_MOVES, 1
+    try:
+        one = kernels.barycenter_sums(x, x[0], None)
+    finally:
+        kernels.BLOCK_MOVES = old
+    assert np.allclose(whole[0], one[0]) and (whole[1] == one[1]).all()
+
+
 def test_sample_homes(spark):
     t = traces(spark)
     a = sampling.sample_homes(t, 4)

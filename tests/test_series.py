@@ -148,6 +148,24 @@ def test_long_series_give_the_same_windows_and_events(spark):
         assert a.exceptAll(b).count() == 0 and a.count() == b.count() > 0
 
 
+def test_long_series_keep_rows_without_a_time(spark):
+    df = panel(spark, range(300))
+    none = df.limit(1).withColumn("date_time", F.lit(None).cast("timestamp_ntz")).withColumn("usage", F.lit(7.0))
+    df = df.unionByName(none).unionByName(none)
+    hot = df.select("series_id").distinct()
+    for add in (features.lag_usage, features.lag_temp):
+        short, long = add(df, hot=None), add(df, hot=hot, bucket_rows=100)
+        assert short.count() == long.count() == 302
+        key = "usage_15m" if add is features.lag_usage else "temp_1h"
+        assert values(short.where("date_time is not null"), "date_time", key) == values(long.where("date_time is not null"), "date_time", key)
+
+
+def test_cache_key_of_whole_and_fractional_places(spark):
+    df = spark.createDataFrame([(40.0, -105.0), (40.5, -104.99999), (39.12345, 0.0)], "lat double, lon double")
+    got = [r[0] for r in df.select(enrich.grid_key_text()).collect()]
+    assert got == ["lat_40_lon_-105", "lat_40p5_lon_-105", "lat_39p1235_lon_0"]
+
+
 def test_no_long_series_means_one_shuffle(spark):
     df = panel(spark, range(100))
     assert ordered.hot_series(df) is None
