@@ -4,13 +4,14 @@ Texts are sets of word shingles; sets with a Jaccard similarity of at least the
 linked. Equal sets are joined by digest first, so a set of many copies is treated once. The others
 are indexed by their prefixes: shingles are ordered from rare to frequent (by counts of hash buckets
 over all documents), and two similar sets share a shingle of their prefixes. Index lists are blocked
-by size, and within lists positions decide which blocks and entries can still reach the threshold.
+by size, and positions decide which entries can be the first common shingle of similar sets.
 
 Work is skipped through relations of sets. First every member of a list is compared with the list's
-leader only, and the overlap is computed exactly. Members similar to the leader are in its
-component. What remains are members of one list in different components: for those the answer is
-derived from the computed ones where that decides, since a set at distance d(x, L) from a leader and
-a set at distance d(y, L) are at least d(x, L) - d(y, L) apart; only undecided pairs are computed.
+leader only, the member whose shingles are shared most; members similar to it are in its component.
+The answers of the others are derived from what the comparison gave. Two sets near one leader can be
+similar only if they share many of their differences to it, so only those are looked up, which are
+few even in a large group of near copies. For members far from the leader the distances decide: sets
+at distances d(x, L) and d(y, L) are at least |d(x, L) - d(y, L)| apart. What stays open is computed.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowpanel.llm.common import components, cut, mix64, packed, release, text_chunks
@@ -132,20 +133,36 @@ def _postings(texts: DataFrame, counts: np.ndarray, width: int, threshold: tuple
     return texts.mapInArrow(run, "h bigint, id bigint, n int, pos int")
 
 
-def _reaches(x: str, y: str, threshold: tuple[int, int]):
-    """Sizes and positions of a common shingle allow the threshold: the overlap that remains suffices.
+def _needed(n, m, threshold: tuple[int, int]):
+    """The least overlap of two similar sets of these sizes."""
+    num, den = threshold
+    return F.ceil((n + m) * num / (num + den) - 1e-9)
 
-    The shingle is not known to be the first common one, so all earlier positions count as common.
-    """
+
+def _first_common(x: str, y: str, threshold: tuple[int, int]):
+    """The shared shingle can be the first common one of two similar sets: enough places follow it."""
     num, den = threshold
     n, m = F.col(f"{x}.n").cast("bigint"), F.col(f"{y}.n").cast("bigint")
-    rest = F.least(F.col(f"{x}.pos"), F.col(f"{y}.pos")) + F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    least = F.least(n, m)
-    return (least * den >= F.greatest(n, m) * num) & (rest * (num + den) >= (n + m) * num)
+    need = _needed(n, m, threshold)
+    fits = (F.col(f"{x}.pos") + need <= n) & (F.col(f"{y}.pos") + need <= m)
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & fits
+
+
+def compared(s: np.ndarray, t: np.ndarray) -> tuple[int, np.ndarray | None]:
+    """(size of the intersection, what sets two sorted sets apart), see `_overlaps`."""
+    both = np.intersect1d(s, t, assume_unique=True)
+    if 2 * len(both) < max(len(s), len(t)):
+        return len(both), None
+    added, missing = np.setdiff1d(s, both, assume_unique=True), np.setdiff1d(t, both, assume_unique=True)
+    return len(both), np.concatenate([added | np.uint64(1), missing & ~np.uint64(1)]).view(np.int64)
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
-    """Pairs (a, b) with n, m and the exact size of their intersection, computed from the texts."""
+    """Pairs (a, b) with n, m and the exact size of their intersection, computed from the texts.
+
+    For pairs that share at least half of the larger set `diff` has what sets them apart: the
+    shingles of a that b lacks (lowest bit 1), then those of b that a lacks, each by hash.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
@@ -161,16 +178,20 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, width: int, name: str) -> Data
 
         for b in batches:
             za, zb = b.column("za"), b.column("zb")
-            sizes = []
+            sizes, diffs = [], []
             for r in range(b.num_rows):
                 s, t = known(za[r].as_py()), known(zb[r].as_py())
-                sizes.append((len(s), len(t), len(np.intersect1d(s, t, assume_unique=True))))
+                common, diff = compared(s, t)
+                sizes.append((len(s), len(t), common))
+                diffs.append(diff)
             n, m, c = (np.array(v, dtype=np.int64) for v in zip(*sizes, strict=True)) if sizes else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(n), pa.array(m), pa.array(c)], names=["a", "b", "n", "m", "common"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("a"), b.column("b"), pa.array(n), pa.array(m), pa.array(c), pa.array(diffs, pa.list_(pa.int64()))],
+                names=["a", "b", "n", "m", "common", "diff"])
 
     left = pairs.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
     both = left.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
-    return cut(both.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint, common bigint"), name)
+    return cut(both.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint, common bigint, diff array<bigint>"), name)
 
 
 def _similar(threshold: tuple[int, int]):
@@ -178,6 +199,53 @@ def _similar(threshold: tuple[int, int]):
     return (F.col("common") > 0) & (F.col("common") * den >= (F.col("n") + F.col("m") - F.col("common")) * num)
 
 
+def of_one_leader(first: DataFrame, roots: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of sets near one leader, in different components, that may be similar.
+
+    With the differences to the leader known, the overlap of two sets is what the leader keeps in
+    both plus the differences they share; so many shared differences are needed that one of them is
+    among the first of both lists of differences.
+    """
+    near = first.where("diff is not null").select(F.col("a").alias("id"), F.col("b").alias("lid"), "n", F.col("m").alias("ln"), "common", "diff")
+    near = near.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = near.groupBy("lid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("lid")
+    near = near.join(mixed, "lid", "left_semi").select("id", "lid", "n", "ln", "common", "root", F.size("diff").alias("size"), F.posexplode("diff").alias("pos", "token"))
+    near = cut(near, "differences")
+    x, y = near.alias("x"), near.alias("y")
+    need = _needed(F.col("x.n"), F.col("y.n"), threshold) - F.col("x.common") - F.col("y.common") + F.col("x.ln")
+    early = (F.col("x.pos") + need <= F.col("x.size")) & (F.col("y.pos") + need <= F.col("y.size"))
+    same = (F.col("x.lid") == F.col("y.lid")) & (F.col("x.token") == F.col("y.token"))
+    pairs = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & early)
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _of_one_list(entries: DataFrame, first: DataFrame, roots: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of one list, in different components, that no answer for the leader decides."""
+    to_leader = first.select(
+        F.col("a").alias("id"), F.col("b").alias("lid"), (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("share"),
+        F.col("diff").isNotNull().alias("near"))
+    members = (
+        entries.select("h", "id", "n", "pos", "lid").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        .join(to_leader, ["id", "lid"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    )
+    # Pairs with the leader are answered, pairs of near members are found by their differences.
+    members = members.where("id <> lid")
+    mixed = members.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("near").alias("all_near"))
+    members = members.join(mixed.where("r0 <> r1 and not all_near").select("h"), "h", "left_semi")
+    # Blocks by size: a partner lies in the same block or the next one, as blocks grow by the inverse threshold.
+    block = F.floor(F.log("n") / float(np.log(threshold[1] / threshold[0]))).cast("int")
+    members = cut(members.withColumn("block", block), "mixed-lists")
+    left = members.withColumn("meet", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("x")
+    right = members.withColumn("meet", F.col("block")).alias("y")
+    other = (F.col("x.h") == F.col("y.h")) & (F.col("x.meet") == F.col("y.meet")) & (F.col("x.root") != F.col("y.root"))
+    once_each = (F.col("x.block") != F.col("y.block")) | (F.col("x.id") < F.col("y.id"))
+    limit = 1 - threshold[0] / threshold[1] + 1e-9
+    # A leader that a member was not compared with tells nothing.
+    open_ = F.coalesce(F.abs(F.col("x.share") - F.col("y.share")) <= limit, F.lit(True)) & ~(F.col("x.near") & F.col("y.near"))
+    pairs = left.join(right, other & once_each & open_ & _first_common("x", "y", threshold))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
          threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id): set size and the least id reachable by links.
@@ -198,41 +266,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     counts = _frequencies(read)
     standing = classes.select("id").distinct()
     texts = cut(packed(rows, "k", "t").join(standing, "id", "left_semi"), "set-texts")
-    posted = cut(_postings(texts, counts, width, threshold), "postings")
-    # Lists of one entry link nothing. The leader of a list is the member of least priority.
-    leader = F.min(F.struct(F.xxhash64("id").alias("p"), "id", "n", "pos")).alias("leader")
-    lists = posted.groupBy("h").agg(leader, F.max("id").alias("hi"), F.min("id").alias("lo")).where("hi <> lo").select("h", "leader")
-    entries = cut(posted.join(lists, "h"), "lists")
-    release(posted)
-    x = entries.select("h", "id", "n", "pos", F.col("leader.id").alias("lid"), F.col("leader.n").alias("ln"), F.col("leader.pos").alias("lpos")).where("id <> lid")
-    stars = x.select(F.struct("id", "n", "pos").alias("x"), F.struct(F.col("lid").alias("id"), F.col("ln").alias("n"), F.col("lpos").alias("pos")).alias("y"))
-    stars = stars.where(_reaches("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    posted = _postings(texts, counts, width, threshold)
+    # Lists of one entry link nothing.
+    of_list = Window.partitionBy("h")
+    kept = posted.withColumn("lo", F.min("id").over(of_list)).withColumn("hi", F.max("id").over(of_list)).where("lo <> hi")
+    kept = cut(kept.drop("lo", "hi"), "lists")
+    # The leader of a list is the member whose prefix is shared most: edits show as shingles of one's own.
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold[0] / threshold[1] - 1e-9) + 1
+    shared = kept.groupBy("id").agg((F.count(F.lit(1)) / F.max(prefix)).alias("shared"))
+    lead = F.min(F.struct((-F.col("shared")).alias("s"), F.xxhash64("id").alias("p"), "id", "n", "pos")).alias("l")
+    leaders = kept.join(shared, "id").groupBy("h").agg(lead).select("h", F.col("l.id").alias("lid"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
+    entries = cut(kept.join(leaders, "h"), "led-lists")
+    release(kept)
+    stars = entries.where("id <> lid").select(
+        F.struct("id", "n", "pos").alias("x"), F.struct(F.col("lid").alias("id"), F.col("ln").alias("n"), F.col("lpos").alias("pos")).alias("y"))
+    stars = stars.where(_first_common("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     first = _overlaps(stars, texts, width, "star-overlaps")
-    near = first.where(_similar(threshold)).select("a", "b")
-    linked = components(near, "stars")
-    # Members of one list in different components; answers that follow from the leaders' are skipped.
-    share = (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("share")
-    to_leader = first.select(F.col("a").alias("id"), F.col("b").alias("lid"), share)
-    members = (
-        entries.select("h", "id", "n", "pos", F.col("leader.id").alias("lid"))
-        .join(linked.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        .join(to_leader, ["id", "lid"], "left").withColumn("share", F.when(F.col("id") == F.col("lid"), 1.0).otherwise(F.col("share")))
-    )
-    mixed = members.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("h")
-    # Blocks by size: a partner lies in the same block or the next one, as blocks grow by the inverse threshold.
-    block = F.floor(F.log("n") / float(np.log(threshold[1] / threshold[0]))).cast("int")
-    members = cut(members.join(mixed, "h", "left_semi").withColumn("block", block), "mixed-lists")
-    left = members.withColumn("meet", F.explode(F.array(F.col("block"), F.col("block") + 1))).alias("x")
-    right = members.withColumn("meet", F.col("block")).alias("y")
-    other = (F.col("x.h") == F.col("y.h")) & (F.col("x.meet") == F.col("y.meet")) & (F.col("x.root") != F.col("y.root"))
-    once_each = (F.col("x.block") != F.col("y.block")) | (F.col("x.id") < F.col("y.id"))
-    limit = 1 - threshold[0] / threshold[1] + 1e-9
-    # A leader that a member was not compared with (it could not reach the threshold) tells nothing.
-    open_ = F.coalesce(F.abs(F.col("x.share") - F.col("y.share")) <= limit, F.lit(True))
-    is_leader = (F.col("x.id") == F.col("x.lid")) | (F.col("y.id") == F.col("y.lid"))
-    pairs = left.join(right, other & once_each & open_ & ~is_leader & _reaches("x", "y", threshold))
-    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = _overlaps(pairs, texts, width, "other-overlaps").where(_similar(threshold)).select("a", "b")
+    linked = components(first.where(_similar(threshold)), "stars")
+    roots = linked.select(F.col("node").alias("id"), "root")
+    seconds = cut(of_one_leader(first, roots, threshold).unionByName(_of_one_list(entries, first, roots, threshold)).distinct(), "other-pairs")
+    second = _overlaps(seconds, texts, width, "other-overlaps").where(_similar(threshold)).select("a", "b")
     linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(same), "links")
     out = sets.join(linked, sets.doc_id == linked.node, "left")
     return out.select(sets.doc_id, F.col("n").alias("n_shingles"), F.coalesce("root", sets.doc_id).alias("component_id"))
