@@ -6,9 +6,10 @@ Bands of the signature bring similar lines together, candidates are verified by
 similarity of their shingle sets, and distributed union-find over the verified links makes
 components, of which one line is kept: the first by document id and line number.
 
-In each band bucket all lines are first compared with one leader. Lines of a bucket that are then
-still in different components are compared with each other, unless their distances to the leader
-prove them apart, so large groups of near copies never make all their pairs.
+In each band bucket all lines are first compared with one leader. Lines that are then still in
+different components are compared with each other only if their differences to the leader (for lines
+near it) or their distances from it leave it open, so large groups of near copies never make all
+their pairs.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowpanel.llm.common import components, cut, mix64, once, release, text_chunks
+from flowpanel.llm.ngram_join import compared, of_one_leader
 
 WIDTH = 8
 THRESHOLD = (80, 100)
@@ -54,16 +56,18 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, width: int
     owner, h = shingle_hashes(lines, width)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     table = np.full(len(lines) * bins, empty, dtype=np.uint64)
-    np.minimum.at(table, owner * bins + ((h >> np.uint64(33)) % np.uint64(bins)).astype(np.int64), h)
+    # The high half picks the bin, as a share of all bins.
+    bin_of = ((mix64(h) >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
+    np.minimum.at(table, owner * bins + bin_of.astype(np.int64), h)
     table = table.reshape(-1, bins)
+    # An empty bin borrows the value of the next one that is not empty, changed by the distance.
+    at = np.arange(2 * bins)
+    place = np.where(np.hstack([table, table]) != empty, at, 2 * bins)
+    ahead = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    away = (ahead - at[:bins]).astype(np.uint64)
     with np.errstate(over="ignore"):
-        for step in range(1, bins):
-            hole = table == empty
-            if not hole.any():
-                break
-            # Holes at distance `step` from a value take it, changed by the distance.
-            ahead = np.roll(table, -1, axis=1)
-            table = np.where(hole & (ahead != empty), mix64(ahead + np.uint64(step)), table)
+        value = np.take_along_axis(table, ahead % bins, axis=1)
+        table = np.where(away > 0, mix64(value + away), value)
         keys = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(1), (len(lines), 1))
         for r in range(rows):
             keys = mix64(keys * np.uint64(0xD6E8FEB86659FD93) + table[:, r::rows])
@@ -113,7 +117,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Da
 
 
 def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) with their exact similarity as common / (n + m - common)."""
+    """Pairs (a, b) with their exact similarity as common / (n + m - common), and what sets them apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 500):
@@ -127,14 +131,14 @@ def _overlaps(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                     own = {x: np.unique(h[ends[i] : ends[i + 1]]) for i, x in enumerate(different)}
                     sets.append([own[x] for x in lines])
                 n, m = ([len(s) for s in side] for side in sets)
-                common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(*sets, strict=True)]
+                common, diff = zip(*(compared(x, y) for x, y in zip(*sets, strict=True)), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("a"), part.column("b"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(common, pa.int64())],
-                    names=["a", "b", "n", "m", "common"])
+                    [part.column("a"), part.column("b"), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(common, pa.int64()),
+                     pa.array(diff, pa.list_(pa.int64()))], names=["a", "b", "n", "m", "common", "diff"])
 
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a")
     both = both.join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b").select("a", "b", "la", "lb")
-    return both.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint, common bigint")
+    return both.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint, common bigint, diff array<bigint>")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD,
@@ -142,11 +146,16 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(lines, components): rows (doc_id, line_no, h), and (node, root) of lines linked with another."""
     num, den = threshold
     lines = cut(_lines(docs, id_col, text_col), "lines")
-    # Both uses below share this one exchange.
-    keyed = _bands(docs, id_col, text_col, bands, rows, width).repartition("key")
-    # The hash of a line is its priority, so the leader is the least of the bucket.
-    buckets = keyed.groupBy("key").agg(F.min("h").alias("leader"), F.max("h").alias("hi")).where("leader <> hi").select("key", "leader")
-    entries = cut(keyed.join(buckets, "key").distinct(), "line-buckets")
+    # Buckets of one line link nothing. One exchange finds the others.
+    of_bucket = Window.partitionBy("key")
+    keyed = _bands(docs, id_col, text_col, bands, rows, width)
+    keyed = keyed.withColumn("lo", F.min("h").over(of_bucket)).withColumn("hi", F.max("h").over(of_bucket)).where("lo <> hi")
+    keyed = cut(keyed.select("key", "h").distinct(), "line-buckets")
+    # The leader is the line that shares most bands with others: edits show as bands of one's own.
+    shared = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("shared"))
+    leaders = keyed.join(shared, "h").groupBy("key").agg(F.min(F.struct((-F.col("shared")).alias("s"), "h")).alias("l")).select("key", F.col("l.h").alias("leader"))
+    entries = cut(keyed.join(leaders, "key"), "led-buckets")
+    release(keyed)
     stars = entries.where("h <> leader").select(F.col("h").alias("a"), F.col("leader").alias("b")).distinct()
     first_place = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("p")).select("h", "p.doc_id", "p.line_no")
     wanted = first_place.join(entries.select("h").distinct(), "h", "left_semi")
@@ -155,20 +164,21 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     similar = F.col("common") * den >= (F.col("n") + F.col("m") - F.col("common")) * num
     first = cut(_overlaps(stars, texts, width), "line-stars")
     linked = components(first.where(similar), "line-stars")
-    members = (
-        entries.join(linked.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-        .join(first.select(F.col("a").alias("h"), F.col("b").alias("leader"), share), ["h", "leader"], "left")
-        .where("h <> leader")
-    )
-    mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    members = cut(members.join(mixed, "key", "left_semi"), "line-mixed")
+    roots = linked.select(F.col("node").alias("id"), "root")
+    answered = first.select(F.col("a").alias("h"), F.col("b").alias("leader"), share, F.col("diff").isNotNull().alias("near"))
+    members = entries.where("h <> leader").join(roots.withColumnRenamed("id", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    members = members.join(answered, ["h", "leader"])
+    # Pairs of lines near the leader are found by their differences to it.
+    mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("near").alias("all_near"))
+    members = cut(members.join(mixed.where("r0 <> r1 and not all_near").select("key"), "key", "left_semi"), "line-mixed")
     x, y = members.alias("x"), members.alias("y")
-    far = F.abs(F.col("x.share") - F.col("y.share")) > 1 - num / den + 1e-9
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & ~far)
-    pairs = pairs.select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
+    apart = F.abs(F.col("x.share") - F.col("y.share")) > 1 - num / den + 1e-9
+    open_ = (F.col("x.h") < F.col("y.h")) & (F.col("x.root") != F.col("y.root")) & ~apart & ~(F.col("x.near") & F.col("y.near"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & open_).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
+    pairs = cut(pairs.unionByName(of_one_leader(first, roots, threshold)).distinct(), "line-pairs")
     second = _overlaps(pairs, texts, width).where(similar).select("a", "b")
     found = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second), "line-links")
-    release(entries, texts, first, members, linked)
+    release(entries, texts, first, members, pairs, linked)
     return lines, found
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from flowpanel.llm.rolling import Hashes
+
 # Characters are bytes plus one, 0 separates texts; seven of them make one word.
 BITS, PER_WORD = 9, 7
 
@@ -36,17 +38,27 @@ def smaller_than_next(t: np.ndarray) -> np.ndarray:
     return up
 
 
-def _words(t: np.ndarray) -> np.ndarray:
+def _words(t: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Seven characters of each position as one number; what follows a separator counts as nothing."""
     padded = np.concatenate([t, np.zeros(PER_WORD, dtype=t.dtype)]).astype(np.uint64)
     out = np.zeros(len(t), dtype=np.uint64)
     for i in range(PER_WORD):
-        out = (out << np.uint64(BITS)) | padded[i : i + len(t)]
+        out = (out << np.uint64(BITS)) | np.where(left > i, padded[i : i + len(t)], np.uint64(0))
     return out
 
 
-def _sort(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """`places` by the `depth` characters that follow, a word at a time among those still equal."""
-    n = len(words)
+def room(t: np.ndarray) -> np.ndarray:
+    """Characters from each position to the next separator (or the end)."""
+    ends = np.append(np.flatnonzero(t == 0), len(t))
+    at = np.arange(len(t))
+    return ends[np.searchsorted(ends, at)] - at
+
+
+def _sort(places: np.ndarray, words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """`places` by the `depth` characters that follow, a word at a time among those still equal.
+
+    Nothing is compared beyond a separator: texts that are equal up to it stay in any order.
+    """
     order = places[np.argsort(words[places], kind="stable")]
     w = words[order]
     new = np.ones(len(order), dtype=bool)
@@ -54,13 +66,14 @@ def _sort(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     group = np.cumsum(new)
     active = np.arange(len(order))
     for off in range(PER_WORD, depth, PER_WORD):
-        sizes = np.bincount(group[active] - 1) if len(active) else np.empty(0, np.int64)
-        active = active[sizes[group[active] - 1] > 1] if len(active) else active
         if not len(active):
             break
-        at = order[active] + off
-        key = np.where(at < n, words[np.minimum(at, n - 1)], np.uint64(0))
         g = group[active]
+        active = active[(np.bincount(g)[g] > 1) & (left[order[active]] >= off)]
+        if not len(active):
+            break
+        # A text that ends just here has a word of zero and comes first; those that ended before stand alone.
+        key, g = words[order[active] + off], group[active]
         by = np.lexsort((key, g))
         order[active] = order[active][by]
         key, g = key[by], g[by]
@@ -70,14 +83,39 @@ def _sort(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(t: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
-    """All positions of `t` ordered by the suffixes' first `depth` characters."""
+def _sorted_small(small: np.ndarray, t: np.ndarray, words: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """The positions `small` in order; of those whose next `depth` characters are equal one is sorted."""
+    whole = left[small] >= depth
+    if not whole.any():
+        return _sort(small, words, left, depth)
+    full = small[whole]
+    same = Hashes(t).windows(depth)[full]
+    _, first, which, sizes = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
+    reps = full[first]
+    order = _sort(np.concatenate([small[~whole], reps]), words, left, depth)
+    # Every representative makes room for all it stands for.
+    size_of = np.ones(len(t), dtype=np.int64)
+    size_of[reps] = sizes
+    slots = np.cumsum(size_of[order]) - size_of[order]
+    out = np.empty(len(small), dtype=np.int64)
+    out[slots] = order
+    start_of = np.zeros(len(t), dtype=np.int64)
+    start_of[order] = slots
+    by = np.argsort(which, kind="stable")
+    rank = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[start_of[reps[which[by]]] + rank] = full[by]
+    return out
+
+
+def suffix_array(t: np.ndarray, depth: int, words: np.ndarray | None = None, left: np.ndarray | None = None) -> np.ndarray:
+    """All positions of `t` ordered by the suffixes' first `depth` characters, up to a separator."""
     n = len(t)
     if not n:
         return np.empty(0, dtype=np.int64)
-    words = _words(t) if words is None else words
+    left = room(t) if left is None else left
+    words = _words(t, left) if words is None else words
     up = smaller_than_next(t)
-    small = _sort(np.flatnonzero(up), words, depth)
+    small = _sorted_small(np.flatnonzero(up), t, words, left, depth)
     first = t[small]
     waiting: dict[int, list[np.ndarray]] = {int(t[-1]): [np.array([n - 1])]}  # the last suffix has no successor
     out = []
@@ -108,14 +146,11 @@ def suffix_array(t: np.ndarray, depth: int, words: np.ndarray | None = None) ->
     return np.concatenate(out)
 
 
-def equal_neighbours(t: np.ndarray, order: np.ndarray, depth: int, words: np.ndarray) -> np.ndarray:
+def equal_neighbours(t: np.ndarray, order: np.ndarray, depth: int, words: np.ndarray, left: np.ndarray) -> np.ndarray:
     """For each neighbouring pair of `order`, whether the common prefix reaches `depth`.
 
     A pair whose next `depth` characters hold a separator does not count.
     """
-    n = len(t)
-    ends = np.flatnonzero(t == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # characters before the next separator
     a, b = order[:-1], order[1:]
     equal = np.flatnonzero((left[a] >= depth) & (left[b] >= depth))
     whole, rest = divmod(depth, PER_WORD)
@@ -134,9 +169,10 @@ def repeated(texts: list[bytes], owner: np.ndarray, offset: np.ndarray, depth: i
     `owner` and `offset` say where a text comes from; the same place seen in two texts is one place.
     """
     t, starts = codes(texts)
-    words = _words(t)
-    order = suffix_array(t, depth, words)
-    equal = equal_neighbours(t, order, depth, words)
+    left = room(t)
+    words = _words(t, left)
+    order = suffix_array(t, depth, words, left)
+    equal = equal_neighbours(t, order, depth, words, left)
     if not equal.any():
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     run = np.zeros(len(order), dtype=np.int64)

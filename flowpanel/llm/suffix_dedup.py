@@ -3,11 +3,12 @@
 A byte goes when a string of `length` bytes that covers it also starts somewhere else. Places that
 can match are brought together by minimizers: of all K-byte strings inside a window of `length`
 bytes the one of least hash is its anchor, so equal windows have equal anchors at equal offsets.
-Around every anchor lies a segment that holds all windows it can stand for. Equal segments are
+Around every anchor lies a segment that holds all windows it stands for. Equal segments are
 joined by hash before anything else (their windows repeat as they are), anchors that occur once are
 dropped, and the different segments of the remaining anchors go, block by block, through a suffix
 array built by two-stage sorting; neighbours with a common prefix of `length` bytes are the repeats.
-An anchor with very many different segments is split into its single windows, which are counted.
+An anchor with very many different segments is split into groups of windows by what these have in
+common, and the windows of groups that meet others are counted.
 
 Rows are numbered and stored once; texts are shuffled as zstd bytes.
 """
@@ -19,11 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowpanel.llm.common import CHUNK_BYTES, cut, mix64, release, shuffle_partitions, text_chunks
+from flowpanel.llm.rolling import Hashes, slide
 from flowpanel.llm.suffix_array import repeated
 
 LENGTH = 200
@@ -32,47 +35,10 @@ K = 40
 PIECE = 4 << 20
 # Characters of segments that share one suffix array.
 BLOCK = 4 << 20
-# Different segments of one anchor that go to one task; beyond, its windows are counted one by one.
+# Different segments of one anchor that go to one task; beyond, its windows are counted.
 MAX_SEGMENTS = 8_000
-
-_rng = np.random.default_rng(20240229)
-BYTE_CODES = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-class Hashes:
-    """64-bit hashes of the substrings of one buffer."""
-
-    _powers = (np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))
-
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        if len(Hashes._powers[0]) < n + 1:
-            with np.errstate(over="ignore"):
-                up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, BASE)]), dtype=np.uint64)
-                down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE)]), dtype=np.uint64)
-            Hashes._powers = up, down
-        self.up = Hashes._powers[0]
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(BYTE_CODES[data] * Hashes._powers[1][:n], dtype=np.uint64, out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((self.sums[end] - self.sums[start]) * self.up[start] + (end - start).astype(np.uint64))
-
-
-def _slide(op, a: np.ndarray, width: int) -> np.ndarray:
-    """op over a[i : i + width] for every i with a whole window."""
-    out, have = a, 1
-    while have * 2 <= width:
-        out = op(out[: len(out) - have], out[have:])
-        have *= 2
-    if have < width:
-        out = op(out[: len(out) - (width - have)], out[width - have :])
-    return out
-
+# Windows that a split anchor's row stands for.
+GROUP = 16
 
 def _pieces(keys: list, texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int, int, int]], bytes]]:
     """Buffers with their parts (key, start in the text, first and last + 1 anchor place in the part)."""
@@ -92,25 +58,41 @@ def _pieces(keys: list, texts: list[bytes], length: int) -> Iterator[tuple[list[
         yield parts, b"".join(data)
 
 
-def _anchors(data: np.ndarray, parts: np.ndarray, hashes: Hashes, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, part) of the anchors of all windows that lie inside a part."""
+def _anchors(data: np.ndarray, parts: np.ndarray, hashes: Hashes, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """(place, part, first window, last window) of the anchors of all windows that lie inside a part.
+
+    A window belongs to the first of its K-byte strings that have the least hash. Equal windows have
+    the same one, so a segment need hold only the windows that belong to its anchor.
+    """
     n, w = len(data), length - k + 1
-    at = np.arange(n - k + 1)
-    v = hashes.of(at, at + k)
-    least = _slide(np.minimum, v, w)  # least hash of the window that starts here
-    whole = np.zeros(len(least), dtype=np.int64)
-    for start, end in parts[:, 2:4]:
+    v = hashes.windows(k)
+    least = slide(np.minimum, v, w)  # least hash of the window that starts here
+    whole = np.zeros(len(least), dtype=np.int8)
+    for start, end in parts[:, 2:4].tolist():
         if end - start >= length:
             whole[start : end - length + 1] = 1
     least[whole == 0] = 0
-    most = _slide(np.maximum, np.concatenate([np.zeros(w - 1, dtype=np.uint64), least, np.zeros(w - 1, dtype=np.uint64)]), w)
+    most = slide(np.maximum, np.concatenate([np.zeros(w - 1, dtype=np.uint64), least, np.zeros(w - 1, dtype=np.uint64)]), w)
     places = np.flatnonzero(most[: len(v)] == v)
+    # Runs of windows with one least hash; a run has its value's anchors in it.
+    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    ends = np.append(starts[1:], len(least)) - 1
+    values, rank = np.unique(np.concatenate([v[places], least[starts]]), return_inverse=True)
+    anchor_rank, run_rank = rank[: len(places)], rank[len(places) :]
+    runs = np.argsort(run_rank * n + starts, kind="stable")
+    run = runs[np.searchsorted((run_rank * n + starts)[runs], anchor_rank * n + places, "right") - 1]
+    by = np.lexsort((places, anchor_rank))
+    before = np.full(len(places), -1, dtype=np.int64)  # the last place with the same value
+    again = anchor_rank[by][1:] == anchor_rank[by][:-1]
+    before[by[1:][again]] = places[by[:-1][again]]
+    first = np.maximum(np.maximum(starts[run], places - (w - 1)), before + 1)
+    last = np.minimum(ends[run], places)
     part = np.searchsorted(parts[:, 2], places, "right") - 1
-    inside = (places >= parts[part, 4]) & (places < parts[part, 5])
-    return places[inside], part[inside]
+    inside = (places >= parts[part, 4]) & (places < parts[part, 5]) & (first <= last)
+    return places[inside], part[inside], first[inside], last[inside]
 
 
-FOUND = "akey bigint, skey bigint, lkey int, rkey int, uid bigint, start bigint, len int, n int"
+FOUND = "akey bigint, skey bigint, lkey int, rkey int, uid bigint, start bigint, len int, off int, n int"
 
 
 def _segments(texts: DataFrame, length: int, k: int) -> DataFrame:
@@ -133,13 +115,12 @@ def _segments(texts: DataFrame, length: int, k: int) -> DataFrame:
         data = np.frombuffer(buffer, dtype=np.uint8)
         parts = np.array(parts, dtype=np.int64)
         hashes = Hashes(data)
-        place, part = _anchors(data, parts, hashes, length, k)
-        uid, shift, lo, hi = parts[part, 0], parts[part, 1] - parts[part, 2], parts[part, 2], parts[part, 3]
-        s, e = np.maximum(lo, place - reach), np.minimum(hi, place + k + reach)
+        place, part, s, last = _anchors(data, parts, hashes, length, k)
+        uid, shift, e = parts[part, 0], parts[part, 1] - parts[part, 2], last + length
         akey = hashes.of(place, place + k)
         with np.errstate(over="ignore"):
             skey = mix64(hashes.of(s, e) + (place - s).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-            alone = mix64(uid.astype(np.uint64) * BASE + (place + shift).astype(np.uint64))
+            alone = mix64(uid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place + shift).astype(np.uint64))
         has_left, has_right = place - s >= half, e - place - k >= half
         lkey = np.where(has_left, hashes.of(np.where(has_left, place - half, place), place + k), alone)
         rkey = np.where(has_right, hashes.of(place, np.where(has_right, place + k + half, place + k)), alone)
@@ -159,7 +140,7 @@ def _segments(texts: DataFrame, length: int, k: int) -> DataFrame:
             col((lkey[index] >> np.uint64(33)).astype(np.int64), zero, np.int32),
             col((rkey[index] >> np.uint64(33)).astype(np.int64), zero, np.int32),
             col(uid[index], stretch[0], np.int64), col((s + shift)[index], stretch[1], np.int64),
-            col((e - s)[index], stretch[2] - stretch[1], np.int32), col(np.minimum(counts, 2), zero + 1, np.int32),
+            col((e - s)[index], stretch[2] - stretch[1], np.int32), col((place - s)[index], zero, np.int32), col(np.minimum(counts, 2), zero + 1, np.int32),
         ], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return texts.select("uid", "z").mapInArrow(run, FOUND)
@@ -185,39 +166,50 @@ def _joined(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 
 def _extract(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Rows (akey, uid, start, seg): the wanted segments' bytes; of split anchors the hash of every window."""
-    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("akey", "start", "len", "split")).alias("at"))
-    schema = pa.schema([("akey", pa.int64()), ("uid", pa.int64()), ("start", pa.int64()), ("seg", pa.binary())])
+    """Rows (akey, uid, start, seg, windows): the wanted segments' bytes.
+
+    A segment of a split anchor gives a row for every GROUP of its windows instead: `akey` is the
+    hash of what these windows have in common, `windows` are the hashes of the windows.
+    """
+    places = wanted.groupBy("uid").agg(F.collect_list(F.struct("akey", "start", "len", "off", "split")).alias("at"))
+    names = ["akey", "uid", "start", "seg", "windows"]
+    schema = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())], strict=True)))
+
+    def signed(b: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(b)
+        return h - (1 << 64) if h >> 63 else h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
+            rows: list[tuple] = []
             for uid, z, at in zip(b.column("uid").to_pylist(), b.column("z"), b.column("at"), strict=True):
                 t = unpack.decompress(z.as_py())
-                rows: tuple[list, list, list] = ([], [], [])
-                for x in at.as_py():
-                    seg = t[x["start"] : x["start"] + x["len"]]
-                    if x["split"]:
-                        for i in range(len(seg) - length + 1):
-                            rows[0].append(int.from_bytes(hashlib.blake2b(seg[i : i + length], digest_size=8).digest(), "little", signed=True))
-                            rows[1].append(x["start"] + i)
-                            rows[2].append(None)
-                    else:
-                        rows[0].append(x["akey"])
-                        rows[1].append(x["start"])
-                        rows[2].append(seg)
-                for i in range(0, len(rows[0]), 5000):
-                    n = len(rows[0][i : i + 5000])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(rows[0][i : i + 5000], pa.int64()), pa.array([uid] * n, pa.int64()),
-                         pa.array(rows[1][i : i + 5000], pa.int64()), pa.array(rows[2][i : i + 5000], pa.binary())], schema=schema)
-
-    return texts.select("uid", "z").join(places, "uid").mapInArrow(run, "akey bigint, uid bigint, start bigint, seg binary")
+                own = at.values
+                for akey, start, size, off, split in zip(*(own.field(c).to_pylist() for c in ("akey", "start", "len", "off", "split")), strict=True):
+                    if not split:
+                        rows.append((akey, uid, start, t[start : start + size], None))
+                        continue
+                    # Groups count from the anchor, so they are the same in every segment of it.
+                    place, end = start + off, start + size - length + 1
+                    for far in range(place - off // GROUP * GROUP, place + 1, GROUP):
+                        first, stop = max(start, far - GROUP + 1), min(end, far + 1)
+                        if first < stop:
+                            common = signed(t[far : far - GROUP + 1 + length])
+                            rows.append((common, uid, first, None, [signed(t[j : j + length]) for j in range(first, stop)]))
+                if len(rows) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    out = "akey bigint, uid bigint, start bigint, seg binary, windows array<bigint>"
+    return texts.select("uid", "z").join(places, "uid").mapInArrow(run, out)
 
 
 def _sorted_repeats(segments: DataFrame, length: int) -> DataFrame:
     """Rows (uid, start, len) of the stretches that suffix arrays over blocks of anchors find."""
-    dealt = segments.repartition(shuffle_partitions(segments.sparkSession), "akey").sortWithinPartitions("akey")
+    dealt = segments.select("akey", "uid", "start", "seg").repartition(shuffle_partitions(segments.sparkSession), "akey").sortWithinPartitions("akey")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -263,7 +255,7 @@ def repeats(texts: DataFrame, length: int = LENGTH, k: int = K, max_segments: in
     inside = shared.where("skey is null").select("uid", "start", F.col("len").cast("bigint").alias("len"))
     keyed = shared.where("skey is not null")
     kinds = cut(keyed.groupBy("akey", "skey").agg(
-        F.sum("n").alias("n"), F.min(F.struct("uid", "start", "len")).alias("rep"), F.first("lkey").alias("lkey"), F.first("rkey").alias("rkey")), "segments")
+        F.sum("n").alias("n"), F.min(F.struct("uid", "start", "len", "off")).alias("rep"), F.first("lkey").alias("lkey"), F.first("rkey").alias("rkey")), "segments")
     # Equal segments: each window of them starts in every copy.
     several = kinds.where("n > 1").select("akey", "skey")
     copies = keyed.join(several, ["akey", "skey"], "left_semi").where(F.col("len") >= length).select("uid", "start", F.col("len").cast("bigint").alias("len"))
@@ -277,9 +269,11 @@ def repeats(texts: DataFrame, length: int = LENGTH, k: int = K, max_segments: in
     )
     cutouts = cut(_extract(texts, compared, length), "segment-texts")
     sorted_out = _sorted_repeats(cutouts.where("seg is not null"), length)
-    windows = cutouts.where("seg is null")
-    often = windows.select("akey", "uid", "start").distinct().groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey")
-    counted = windows.join(often, "akey", "left_semi").select("uid", "start", F.lit(length).cast("bigint").alias("len"))
+    groups = cutouts.where("seg is null")
+    shared_groups = groups.groupBy("akey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey")
+    windows = groups.join(shared_groups, "akey", "left_semi").select("akey", "uid", "start", F.posexplode("windows").alias("i", "window"))
+    often = windows.groupBy("akey", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("akey", "window")
+    counted = windows.join(often, ["akey", "window"], "left_semi").select("uid", (F.col("start") + F.col("i")).alias("start"), F.lit(length).cast("bigint").alias("len"))
     out = cut(inside.unionByName(copies).unionByName(sorted_out).unionByName(counted), "repeats")
     release(shared, kinds, cutouts)
     return out
