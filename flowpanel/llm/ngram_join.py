@@ -210,7 +210,12 @@ def of_one_leader(first: DataFrame, roots: DataFrame, threshold: tuple[int, int]
     near = near.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = near.groupBy("lid").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("lid")
     near = near.join(mixed, "lid", "left_semi").select("id", "lid", "n", "ln", "common", "root", F.size("diff").alias("size"), F.posexplode("diff").alias("pos", "token"))
-    near = cut(near, "differences")
+    # What a set lacks to be similar to the leader. A pair needs as many shared differences as both lack
+    # together and what the leader's size adds; one of the two lacks something, the other at least
+    # the negative of what the size adds. So late differences cannot be the first shared one.
+    share = threshold[0] / (threshold[0] + threshold[1])
+    lacks, adds = share * (F.col("n") + F.col("ln")) - F.col("common"), F.col("ln") * (1 - 2 * share)
+    near = cut(near.where(F.col("pos") + F.when(lacks > 0, lacks).otherwise(lacks + adds) <= F.col("size") + 1e-6), "differences")
     x, y = near.alias("x"), near.alias("y")
     need = _needed(F.col("x.n"), F.col("y.n"), threshold) - F.col("x.common") - F.col("y.common") + F.col("x.ln")
     early = (F.col("x.pos") + need <= F.col("x.size")) & (F.col("y.pos") + need <= F.col("y.size"))
