@@ -1,10 +1,10 @@
 """License scans: base phrases, and templates found through a positional rare-token index.
 
 The words of the license templates are counted over all documents. Each template is posted under
-its words of highest inverse document frequency. The highest-IDF license words of a file are looked
-up, postings are intersected by relative position (file position minus template position), and what
-is left is verified against the whole template and its mandatory key phrase. Only DataFrame
-functions are used.
+its words of highest inverse document frequency, enough of them that a text with the least share of
+the template has two at their places. All posted words of a file are looked up, postings are
+intersected by relative position (file position minus template position), and what is left is
+verified against the whole template and its mandatory key phrase. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ TEMPLATES = [
             "following conditions are met", "redistribution and use in source and binary forms"),
 ]
 RARE_PER_TEMPLATE = 5
-RARE_PER_FILE = 12
 LEAST_SHARE = 0.7
+LEAST_VOTES = 2
 
 
 def words(text: Column) -> Column:
@@ -76,7 +76,9 @@ def postings(spark: SparkSession, idf: dict[str, float], templates=TEMPLATES) ->
     rows = []
     for label, text, _ in templates:
         own = text.split()
-        rare = sorted(set(own), key=lambda w: (-idf[w], w))[:RARE_PER_TEMPLATE]
+        # Every changed word takes one vote at most.
+        changed = max(m for m in range(len(own)) if (len(own) - m) / len(own) >= LEAST_SHARE)
+        rare = sorted(set(own), key=lambda w: (-idf[w], w))[: max(RARE_PER_TEMPLATE, changed + LEAST_VOTES)]
         rows += [(w, idf[w], label, i) for i, w in enumerate(own) if w in rare]
     return spark.createDataFrame(rows, "word string, idf double, template string, place int")
 
@@ -102,22 +104,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows = rows.withColumn("w", F.when(keyed, F.col("w"))).withColumn("uid", F.monotonically_increasing_id())
     files = cut(rows, "license-words")
     index = postings(spark, inverse_frequencies(files, templates), templates)
-    rare = [r[0] for r in index.select("word").distinct().collect()]  # at most RARE_PER_TEMPLATE per template
+    rare = [r[0] for r in index.select("word").distinct().collect()]  # no more than the words of the templates
     kept = files.where("w is not null").select("uid", "w")
     hits = kept.select("uid", F.explode(F.filter(
         F.transform("w", lambda x, i: F.struct(x.alias("word"), i.alias("pos"))), lambda s: s["word"].isin(rare))).alias("h"))
     hits = hits.select("uid", "h.word", "h.pos")
-    # The file's rarest license words: by IDF, a fixed number of different ones.
-    by_file = hits.select("uid", "word").distinct().join(index.select("word", "idf").distinct(), "word")
-    by_file = by_file.groupBy("uid").agg(F.collect_list(F.struct((-F.col("idf")).alias("k"), "word")).alias("ws"))
-    top = by_file.select("uid", F.explode(F.slice(F.sort_array("ws"), 1, RARE_PER_FILE)).alias("x")).select("uid", F.col("x.word").alias("word"))
-    met = hits.join(top, ["uid", "word"], "left_semi").join(index.drop("idf"), "word")
+    met = hits.join(index.drop("idf"), "word")
     votes = met.groupBy("uid", "template", (F.col("pos") - F.col("place")).alias("offset")).agg(F.countDistinct("word").alias("votes"))
     table = spark.createDataFrame(
         [(label, text.split(), text.split().index(key.split()[0]) if key in text else 0, key.split()) for label, text, key in templates],
         "template string, tw array<string>, key_at int, kw array<string>",
     )
-    tried = votes.where("votes >= 2").join(table, "template").join(kept, "uid")
+    tried = votes.where(F.col("votes") >= LEAST_VOTES).join(table, "template").join(kept, "uid")
     at = lambda base, n: F.sequence(F.lit(0), n - 1)
     same = F.size(F.filter(at(0, F.size("tw")), lambda j: (F.col("offset") + j >= 0) & (F.get("w", F.col("offset") + j) == F.get("tw", j))))
     key = F.forall(at(0, F.size("kw")), lambda j: F.coalesce(
