@@ -26,7 +26,7 @@ BASE = [
 WEAK = [
     ("weak_id", "id", r"""(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@_.+-]{3,}"""),
     ("weak_key", "id", r"(?<![A-Za-z0-9])(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]{16,24}(?![A-Za-z0-9])"),
-    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}"),
+    ("weak_secret", "secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,}={0,2}"),
     ("weak_hex", "secret", r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{16,31}(?![A-Za-z0-9])"),
     ("endpoint", "endpoint", r"""(?i:https?|s3|ftp|postgres|mysql|mongodb|redis)://[^\x00-\x20"'<>]+"""),
 ]
