@@ -2,10 +2,12 @@
 
 Each rule compares one statistic of a document with a cutoff that depends on the document's stratum.
 Cutoffs are chosen on labelled holdout rows: a cutoff of a fixed grid counts as safe when the exact
-binomial test rejects, at a level corrected for all tests made (strata x rules x grid points), that
-the rule would drop more than `max_false` of the stratum's good documents. The strictest cutoff such
-that it and all milder ones of the grid are safe is used; a rule without one rejects nothing in the
-stratum. With probability 1 - `error` no rule in any stratum drops more good documents than allowed.
+binomial test rejects that the rule would drop more than `max_false` of the stratum's good documents.
+A rule's cutoffs are tested from mild to strict until one is not safe, which needs no correction for
+the grid; the level is shared by the sequences (strata x rules) and, as by Holm, passed on by those
+that are safe to their end. The strictest cutoff such that it and all milder ones are safe is used; a
+rule without one rejects nothing in the stratum. With probability 1 - `error` no rule in any stratum
+drops more good documents than allowed.
 Only DataFrame functions are used.
 """
 
@@ -117,6 +119,19 @@ def binomial_tail(hits: Column, n: Column, p: float) -> Column:
     return F.exp(F.aggregate(steps, zero, add, lambda acc: acc["total"]))
 
 
+def _level(tests: DataFrame, error: float) -> DataFrame:
+    """One row (level): the level at which every sequence of cutoffs (stratum, rule) is tested.
+
+    A sequence that is safe to its end, which its largest p-value tells, passes its share of `error`
+    on to the others; the sequences are taken in the order of these p-values.
+    """
+    ends = tests.groupBy("stratum", "rule").agg(F.max("p_value").alias("p")).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    n = F.size("ps")
+    unsafe = F.filter(F.transform("ps", lambda p, i: F.when(p * (n - i) > error, i)), lambda i: i.isNotNull())
+    done = F.coalesce(F.array_min(unsafe), n)
+    return ends.select((F.lit(error) / F.greatest(n - done, F.lit(1))).alias("level"))
+
+
 def thresholds(stats: DataFrame, labels: DataFrame, max_false: float = 0.01, error: float = 0.05,
                id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
     """Rows (stratum, rule, cutoff, n_good, n_false, p_value) of the certified cutoffs.
@@ -133,18 +148,18 @@ def thresholds(stats: DataFrame, labels: DataFrame, max_false: float = 0.01, err
     grid = [(r, j, c) for r, (_, _, cuts) in RULES.items() for j, c in enumerate(cuts)]
     false = [F.sum(_bad(r, F.lit(c)).cast("bigint")).alias(f"f{k}") for k, (r, _, c) in enumerate(grid)]
     per = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *false)
-    strata = per.crossJoin(F.broadcast(per.agg(F.count(F.lit(1)).alias("n_strata"))))  # one row
     cells = F.array(*[
         F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(c).alias("cutoff"), F.col(f"f{k}").alias("n_false"))
         for k, (r, j, c) in enumerate(grid)
     ])
-    tests = strata.select("stratum", "n_good", "n_strata", F.explode(cells).alias("c")).select("stratum", "n_good", "n_strata", "c.*")
+    tests = per.select("stratum", "n_good", F.explode(cells).alias("c")).select("stratum", "n_good", "c.*")
     # More hits than expected can never be safe; the long sum is spared.
     p_value = F.when(F.col("n_false") > F.col("n_good") * max_false, F.lit(1.0)).otherwise(
         binomial_tail(F.col("n_false"), F.col("n_good"), max_false)
     )
     tests = tests.withColumn("p_value", p_value)
-    safe = F.col("p_value") * F.col("n_strata") * len(grid) <= error
+    tests = tests.crossJoin(F.broadcast(_level(tests, error)))  # one row
+    safe = F.col("p_value") <= F.col("level")
     milder = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     ranked = tests.withColumn("ok", F.min(safe.cast("int")).over(milder)).where("ok = 1")
     best = ranked.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n_good", "n_false", "p_value"), "step").alias("b"))
