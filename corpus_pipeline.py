@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowpanel.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from flowpanel.llm.common import cut, release
+from flowpanel.llm.common import cut, documents, release
 
 # SQL cannot express the stages (calibrated cutoffs, MinHash, tokenization); tests use brute force.
 ORACLE_SQL = None
@@ -41,9 +41,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(docs.columns)
 
 
+def _emptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids that have no word left though their input had some: line dedup kept their lines elsewhere."""
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    bare = docs.groupBy("doc_id").agg(F.max(worded).alias("worded")).where("not worded").select("doc_id")
+    return documents(spark, sf_dir).where(worded).join(bare, "doc_id", "left_semi").select("doc_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of similar documents, the one with the least id stays."""
-    return _without(docs, ngram_join.join(docs).where("component_id <> doc_id"), "pipeline-duplicates")
+    """Of every group of similar documents, the one with the least id stays.
+
+    Copies are similar to nothing once their lines are gone; they go too. Documents that were empty
+    in the input stay.
+    """
+    alike = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id")
+    return _without(docs, alike.unionByName(_emptied(spark, docs, sf_dir)), "pipeline-duplicates")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
