@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowpanel.llm import bpe, decontaminate, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, suffix_dedup, token_files, url_filter
+from flowpanel.llm import (
+    bpe, chat_format, decontaminate, importance, license_scan, line_dedup, ngram_join, oracles, prefix_trie, quality_rules, secret_scan, suffix_dedup,
+    token_files, url_filter,
+)
 from flowpanel.llm.common import cut, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,7 +75,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shingles_sql(table: str, key: str) -> str:
-    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
     return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (
   SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {key} IS NOT NULL))"""
 
@@ -94,3 +97,32 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return url_filter.filter_urls(pages, url_filter.labelled_urls(spark))
+
+
+ORACLES["op11_prefix_trie"] = oracles.PREFIX_TRIE
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digests(prefix_trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+ORACLES["op12_importance_resampling"] = oracles.IMPORTANCE
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    drawn = importance.resample(documents(spark, sf_dir), target)
+    return drawn.select("doc_id", "n_words", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op13_chat_format"] = oracles.CHAT_FORMAT
+HARD_TURN = "\\### Assistant: </turn> ok"
+
+
+@query
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame([(-7, 0, "user", HARD_TURN), (-7, 1, "assistant", HARD_TURN)], "conv_id bigint, turn bigint, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(convs.unionByName(hard)))
