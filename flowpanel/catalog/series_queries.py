@@ -63,6 +63,22 @@ def _rolling_sql(table: str) -> str:
     return f"SELECT series_id, date_time, {rs(*ROLLING_ROWS)} FROM (SELECT series_id, date_time, {sums} FROM {table} WINDOW {frames})"
 
 
+def _time_lag_sql(source: str, lags: dict[str, int]) -> str:
+    joins = " ".join(
+        f"LEFT JOIN fx_panel l{k} ON l{k}.series_id = p.series_id AND l{k}.date_time = p.date_time - INTERVAL {15 * k} MINUTE" for k in lags.values())
+    return f"SELECT p.series_id, p.date_time, {', '.join(r(f'l{k}.{source}', c) for c, k in lags.items())} FROM fx_panel p {joins}"
+
+
+@query("lag_temp_by_time", _time_lag_sql("temp_c", TEMP_LAG_ROWS))
+def lag_temp_by_time(i: Inputs):
+    return features.lag_temp(i.panel(), time_based=True).select("series_id", "date_time", *TEMP_LAG_ROWS)
+
+
+@query("lag_usage_by_time", _time_lag_sql("usage", USAGE_LAG_ROWS))
+def lag_usage_by_time(i: Inputs):
+    return features.lag_usage(i.panel(), time_based=True).select("series_id", "date_time", *USAGE_LAG_ROWS)
+
+
 @query("rolling_sums", _rolling_sql("fx_panel"))
 def rolling_sums(i: Inputs):
     rows = i.panel().select("series_id", "date_time", "temp_c", "precip_mm", "snow_cm")
@@ -83,18 +99,28 @@ def day_windows(i: Inputs):
     return windows.day_windows(i.features(), hot=i.hot())
 
 
-@query("sliding_windows", """
-WITH numbered AS (SELECT series_id, date_time, usage, row_number() OVER (PARTITION BY series_id ORDER BY date_time) - 1 AS pos,
+_FIRST = {**{f"c_in_{k}": c for k, c in enumerate(C_IN)}, **{f"c_out_{k}": c for k, c in enumerate(C_OUT)}}
+
+
+@query("sliding_windows", f"""
+WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date_time) - 1 AS pos,
                          lead(date_time, 95) OVER (PARTITION BY series_id ORDER BY date_time) AS last_time,
                          sum(usage) OVER (PARTITION BY series_id ORDER BY date_time ROWS BETWEEN CURRENT ROW AND 95 FOLLOWING) AS total,
-                         max(usage) OVER (PARTITION BY series_id ORDER BY date_time ROWS BETWEEN CURRENT ROW AND 95 FOLLOWING) AS peak
+                         max(usage) OVER (PARTITION BY series_id ORDER BY date_time ROWS BETWEEN CURRENT ROW AND 95 FOLLOWING) AS peak,
+                         sum(temp_c) OVER (PARTITION BY series_id ORDER BY date_time ROWS BETWEEN CURRENT ROW AND 95 FOLLOWING) AS warmth
                   FROM fx_features)
-SELECT series_id, pos // 24 AS window_idx, date_time AS window_start, """ + rs("total", "peak") + """
-FROM numbered WHERE pos % 24 = 0 AND date_diff('minute', date_time, last_time) = 1425""")
+SELECT series_id, pos AS window_idx, date_time AS window_start, {rs("total", "peak", "warmth")}, {r("usage", "x_0")},
+  {", ".join(r(c, name) for name, c in _FIRST.items())}
+FROM numbered WHERE date_diff('minute', date_time, last_time) = 1425""")
 def sliding_windows(i: Inputs):
-    cut = windows.sliding_windows(i.features(), 24, c_in=[], c_out=[], hot=i.hot())
-    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
-    return cut.select("series_id", "window_idx", "window_start", total.alias("total"), F.array_max("x").alias("peak"))
+    """Every window at stride 1 with both matrices: sums over the whole window, the first value of all 23 rows."""
+    cut = windows.sliding_windows(i.features(), hot=i.hot())
+    total = lambda row: F.aggregate(row, F.lit(0.0), lambda a, v: a + v)
+    warm = F.get("c_out", C_OUT.index("temp_c"))
+    first = [F.get(F.get(name[:-len(name.split("_")[-1]) - 1], int(name.split("_")[-1])), 0).alias(name) for name in _FIRST]
+    return cut.select(
+        "series_id", "window_idx", "window_start", total("x").alias("total"), F.array_max("x").alias("peak"), total(warm).alias("warmth"),
+        F.get("x", 0).alias("x_0"), *first)
 
 
 @query("norm_stats", f"SELECT {rs(*_STATS)} FROM fx_stats")

@@ -1,6 +1,7 @@
 """Calendar, lag and rolling-sum features.
 
-Lags and widths count rows, not time: after a data gap `usage_24h` is older than 24 hours.
+Lags and widths count rows, not time: after a data gap `usage_24h` is older than 24 hours. Lags can
+be asked for by time instead, which leaves them NULL there.
 Hourly rain and snow are carried onto every 15-minute row, so their trailing sums are four
 times the physical total; the statistics of the model expect that.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from flowpanel.functions.calendar import cyclic_calendar
 from flowpanel.operators.access import drop_incomplete
 from flowpanel.plans.ordered import CHECK, over_series
-from flowpanel.schemas import CALENDAR, ROLLING_ROWS, TEMP_LAG_ROWS, USAGE_LAG_ROWS
+from flowpanel.schemas import CALENDAR, ROLLING_ROWS, STEP_MINUTES, TEMP_LAG_ROWS, USAGE_LAG_ROWS
 
 GDD_BASE_C = 10.0
 
@@ -81,12 +82,34 @@ def add_lags(df: DataFrame, source: str, lags: dict[str, int], hot: DataFrame |
     )
 
 
-def lag_temp(df: DataFrame, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
-    return add_lags(df, "temp_c", TEMP_LAG_ROWS, hot, **split)
+def lag_temp(df: DataFrame, hot: DataFrame | str | None = CHECK, time_based: bool = False, **split) -> DataFrame:
+    """Temperature lags by row, or by instant with `time_based`, which needs no count of long series."""
+    return add_time_lags(df, "temp_c", TEMP_LAG_ROWS) if time_based else add_lags(df, "temp_c", TEMP_LAG_ROWS, hot, **split)
 
 
-def lag_usage(df: DataFrame, hot: DataFrame | str | None = CHECK, **split) -> DataFrame:
-    return add_lags(df, "usage", USAGE_LAG_ROWS, hot, **split)
+def lag_usage(df: DataFrame, hot: DataFrame | str | None = CHECK, time_based: bool = False, **split) -> DataFrame:
+    """Usage lags by row, or by instant with `time_based`."""
+    return add_time_lags(df, "usage", USAGE_LAG_ROWS) if time_based else add_lags(df, "usage", USAGE_LAG_ROWS, hot, **split)
+
+
+def add_time_lags(
+    df: DataFrame, source: str, lags: dict[str, int], step_minutes: int = STEP_MINUTES,
+    key: str = "series_id", time: str = "date_time",
+) -> DataFrame:
+    """Lags by instant instead of by row: the value exactly so many steps earlier, NULL across a gap.
+
+    Every value is written once per lag to the instant that looks back at it; those of one instant
+    meet in one group, which rows find by an equi join on series and time. Nothing needs the order
+    of a series, so a long one is spread over its instants. Where an instant repeats, the largest of
+    its values counts; a NULL or NaN value counts as none.
+    """
+    shift = F.explode(F.array(*[F.struct(F.lit(name).alias("_lag"), F.lit(k * step_minutes).alias("_m")) for name, k in lags.items()]))
+    value = F.col(source)
+    seen = df.where(value.isNotNull() & ~F.isnan(value)).select(key, F.col(time).alias("_t"), value.alias("_v"), shift.alias("_l"))
+    later = F.col("_t") + F.make_dt_interval(mins=F.col("_l._m"))
+    by_instant = seen.select(key, later.alias(time), "_l._lag", "_v").groupBy(key, time).agg(
+        *[F.max(F.when(F.col("_lag") == name, F.col("_v"))).alias(name) for name in lags])
+    return df.join(by_instant, [key, time], "left").select(*[f"`{c}`" for c in df.columns], *lags)
 
 
 def rolling_sums(

@@ -11,52 +11,83 @@ from flowpanel.plans.ordered import CHECK, RN, keep_ids, number_rows, resolve_ho
 from flowpanel.schemas import C_IN, C_OUT, CALENDAR, STEP_MINUTES, STEPS_PER_DAY, USAGE_LAGS
 from flowpanel.session import materialize
 
+BLOCK = "_block"
+
 
 def project_window_cols(features: DataFrame, keys: tuple[str, ...] = ("series_id", "date_time", "usage")) -> DataFrame:
     """Keys, target and the 12 + 10 condition columns, in tensor order."""
     return features.select(*keys, *C_IN, *C_OUT)
 
 
-def _window_idx(size: int, stride: int) -> Column:
-    pos = F.col(RN) - 1
-    last = F.floor(pos / stride)
-    if stride == size:
-        return last
-    first = F.greatest(F.ceil((pos - (size - 1)) / stride), F.lit(0))
-    return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+def _blocks(rows: DataFrame, key: str, time: str, values: list[str], size: int) -> DataFrame:
+    """Rows (key, _block, _rows): the rows of a series in blocks of `size`, each row once."""
+    block = F.floor((F.col(RN) - 1) / size).alias(BLOCK)
+    ordered = F.sort_array(F.collect_list(F.struct(RN, time, *values))).alias("_rows")
+    return rows.select(key, time, RN, *values, block).groupBy(key, BLOCK).agg(ordered)
 
 
 def _cut(
-    rows: DataFrame, key: str, time: str, x: list[str], c_in: list[str], c_out: list[str],
-    size: int, stride: int, step_minutes: int,
+    rows: DataFrame, key: str, time: str, x: list[str], c_in: list[str], c_out: list[str], size: int, step_minutes: int,
 ) -> DataFrame:
+    """Windows that do not overlap: the full blocks without a gap."""
     values = list(dict.fromkeys([*x, *c_in, *c_out]))
-    grouped = (
-        rows.select(key, time, RN, *values, _window_idx(size, stride).alias("window_idx"))
-        .groupBy(key, "window_idx")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min(time).alias("window_start"),
-            F.max(time).alias("_end"),
-            F.sort_array(F.collect_list(F.struct(RN, *values))).alias("_rows"),
-        )
-    )
-    span = elapsed_seconds(grouped, "window_start", F.col("window_start"), F.col("_end"))
-    whole = grouped.where((F.col("_n") == size) & (span == (size - 1) * step_minutes * 60))
+    times = F.col("_rows").getField(time)
+    full = _blocks(rows, key, time, values, size).where(F.size("_rows") == size)
+    full = full.withColumns({"window_idx": F.col(BLOCK), "window_start": F.get(times, 0), "_end": F.get(times, size - 1)})
+    span = elapsed_seconds(full, "window_start", F.col("window_start"), F.col("_end"))
+    whole = full.where(span == (size - 1) * step_minutes * 60)
+    return whole.select(key, "window_idx", "window_start", *_matrices("_rows", x, c_in, c_out).values())
 
-    def feature(name: str) -> Column:
-        return F.col("_rows").getField(name)
 
-    target = [feature(c) for c in x]
-    out = [
-        key, "window_idx", "window_start",
-        (target[0] if len(x) == 1 else F.array(*target)).alias("x"),
-    ]
-    if c_in:
-        out.append(F.array(*[feature(c) for c in c_in]).alias("c_in"))
-    if c_out:
-        out.append(F.array(*[feature(c) for c in c_out]).alias("c_out"))
-    return whole.select(*out)
+def _matrices(rows: str, x: list[str], c_in: list[str], c_out: list[str]) -> dict[str, Column]:
+    """x, c_in and c_out from an array of rows, feature by feature."""
+    feature = lambda c: F.col(rows).getField(c)
+    out = {"x": feature(x[0]) if len(x) == 1 else F.array(*[feature(c) for c in x])}
+    out |= {name: F.array(*[feature(c) for c in own]) for name, own in (("c_in", c_in), ("c_out", c_out)) if own}
+    return {name: value.alias(name) for name, value in out.items()}
+
+
+def _slide(
+    rows: DataFrame, key: str, time: str, x: list[str], c_in: list[str], c_out: list[str],
+    size: int, stride: int, step_minutes: int, long_series: bool,
+) -> DataFrame:
+    """Windows at any stride as slices of a block and the one after it.
+
+    Ordinary series meet their next block in the partition they are in already; the blocks of long
+    series meet in a join, so that no task holds a series.
+    """
+    values = list(dict.fromkeys([*x, *c_in, *c_out]))
+    blocks = _blocks(rows, key, time, values, size)
+    if long_series:
+        blocks = materialize(blocks, "window-blocks")
+        after = blocks.select(key, (F.col(BLOCK) - 1).alias(BLOCK), F.col("_rows").alias("_next"))
+        blocks = blocks.join(after, [key, BLOCK], "left")
+    else:
+        blocks = blocks.withColumn("_next", F.lead("_rows").over(Window.partitionBy(key).orderBy(BLOCK)))
+    both = F.when(F.col("_next").isNull(), F.col("_rows")).otherwise(F.concat("_rows", "_next"))
+    lists = blocks.select(key, BLOCK, both.alias("_rows"))
+    parts = _matrices("_rows", x, c_in, c_out)
+    lists = lists.select(key, BLOCK, F.col("_rows").getField(time).alias("_times"), *parts.values())
+    # Windows start inside the block, at positions of the series that the stride hits.
+    first = F.pmod(-F.col(BLOCK) * size, F.lit(stride))
+    last = F.least(F.size("_times") - size, F.lit(size - 1))
+    starts = F.when(first <= last, F.sequence(first, last.cast("bigint"), F.lit(stride).cast("bigint")))
+    at = lists.withColumn("_at", F.explode(starts))
+    place = F.col("_at").cast("int")
+    at = at.withColumns({
+        "window_idx": F.floor((F.col(BLOCK) * size + F.col("_at")) / stride),
+        "window_start": F.get("_times", place), "_end": F.get("_times", place + size - 1),
+    })
+    span = elapsed_seconds(at, "window_start", F.col("window_start"), F.col("_end"))
+    whole = at.where(span == (size - 1) * step_minutes * 60)
+
+    def cut(name: str) -> Column:
+        """The window's part of a row, or of every row of a matrix; one expression for all of them keeps the generated code small."""
+        if name == "x" and len(x) == 1:
+            return F.slice(name, place + 1, F.lit(size)).alias(name)
+        return F.transform(name, lambda row: F.slice(row, place + 1, F.lit(size))).alias(name)
+
+    return whole.select(key, "window_idx", "window_start", *[cut(name) for name in parts])
 
 
 def day_windows(
@@ -68,25 +99,29 @@ def day_windows(
 
     Windows do not realign after a gap: one missing hour shifts all later ones. A window is kept
     when it is full and its first and last rows are (size - 1) steps apart. Matrices are
-    feature-major. With the default stride the row numbers and the grouping share one shuffle;
-    a smaller stride repeats each row once per window that holds it, which is the output.
+    feature-major. Row numbers and grouping share one shuffle. Rows are grouped once, into blocks of
+    `size`; with the default stride the blocks are the windows, with another one a window is a slice
+    of two neighbouring blocks, so no row is moved or sorted once per window that holds it.
     """
     x = [x] if isinstance(x, str) else list(x)
     c_in = C_IN if c_in is None else c_in
     c_out = C_OUT if c_out is None else c_out
     step = stride or size
-    rest = (key, time, x, c_in, c_out, size, step, step_minutes)
-
     hot = resolve_hot(features, hot, key)
 
+    def windows(rows: DataFrame, long_series: bool) -> DataFrame:
+        if step == size:
+            return _cut(rows, key, time, x, c_in, c_out, size, step_minutes)
+        return _slide(rows, key, time, x, c_in, c_out, size, step, step_minutes, long_series)
+
     def number(rows: DataFrame) -> DataFrame:
         return rows.withColumn(RN, F.row_number().over(Window.partitionBy(key).orderBy(time)).cast("bigint"))
 
     if hot is None:
-        return _cut(number(features), *rest)
+        return windows(number(features), False)
     features = materialize(features, "window-input")
-    cold = _cut(number(keep_ids(features, hot, [key], "left_anti")), *rest)
-    split = _cut(number_rows(keep_ids(features, hot, [key]), key, time), *rest)
+    cold = windows(number(keep_ids(features, hot, [key], "left_anti")), False)
+    split = windows(number_rows(keep_ids(features, hot, [key]), key, time), True)
     return cold.unionByName(split)
 
 
