@@ -9,6 +9,7 @@ from flowpanel.catalog.inputs import Inputs
 from flowpanel.catalog.registry import query, r, rs
 from flowpanel.functions import calendar, ids
 from flowpanel.operators import access, compare, enrich, features, stats, windows
+from flowpanel.session import delete_path
 from flowpanel.sources import files, locations, panel, readings, weather
 from flowpanel.streaming.ingest import incremental_ingest
 
@@ -132,6 +133,14 @@ def row_count(i: Inputs):
     return windows.row_count(i.windows())
 
 
+@query("footer_count", "SELECT count(*) AS n_rows FROM fx_panel")
+def footer_count(i: Inputs):
+    """Rows of the stored panel, from the footers of its files."""
+    path = i.scratch("counted")
+    panel.write_panel(i.panel(), path)
+    return panel.footer_count(i.spark, path)
+
+
 _FLOAT_Z = "CAST(CAST(CASE WHEN usage > 0 THEN (ln(1e0 + usage) - log_mean) / (log_std + 1e-6) ELSE 0e0 END AS FLOAT) AS DOUBLE)"
 
 
@@ -149,14 +158,21 @@ def shard_export(i: Inputs):
 
 @query("incremental_ingest", f"SELECT {_PANEL} FROM fx_panel")
 def ingest(i: Inputs):
-    """Half of the months' days land first, the rest and a summary later; a third call finds nothing new."""
+    """Half of the days land first, with a folder that is taken back later and one that is wrong at first.
+
+    The rest and a summary follow, the wrong folder is written anew; a last call finds nothing to do.
+    """
     landing, target, state = i.scratch("landing"), i.scratch("ingested"), i.scratch("ingest-state")
     rows = i.panel()
     schema = schemas.panel(rows.schema["date_time"].dataType)
-    odd = F.dayofmonth("date_time") % 2 == 1
-    panel.write_panel(rows.where(odd), f"{landing}/meter_first")
+    day = F.dayofmonth("date_time") % 3
+    panel.write_panel(rows.where(day == 0), f"{landing}/first")
+    panel.write_panel(rows.where(day == 0), f"{landing}/twice")
+    panel.write_panel(rows.where(day == 1).withColumn("usage", F.col("usage") + 1), f"{landing}/meter_second")
     incremental_ingest(i.spark, landing, target, state, schema)
-    panel.write_panel(rows.where(~odd), f"{landing}/meter_second")
+    delete_path(i.spark, f"{landing}/twice")
+    panel.write_panel(rows.where(day == 1), f"{landing}/meter_second", mode="overwrite")
+    panel.write_panel(rows.where(day == 2), f"{landing}/third")
     stats.panel_summary(rows).write.parquet(f"{landing}/summary")
     incremental_ingest(i.spark, landing, target, state, schema)
     return incremental_ingest(i.spark, landing, target, state, schema)
@@ -170,6 +186,12 @@ def unpivot_readings(i: Inputs):
     return readings.unpivot_readings(i.spark.read.parquet(i.wide()))
 
 
+@query("unpivot_in_groups", f"SELECT {_READ}, {r('usage')} FROM fx_readings")
+def unpivot_in_groups(i: Inputs):
+    """The same rows from scans of a few columns each."""
+    return readings.unpivot_in_groups(i.spark, i.wide(), i.scratch("unpivoted"), columns=25)
+
+
 @query("id_prefix", "SELECT series_id, date_time, substring(series_id, 1, 10) AS meter_id FROM fx_readings")
 def id_prefix(i: Inputs):
     return i.readings().select("series_id", "date_time", ids.id_prefix("series_id").alias("meter_id"))

@@ -56,7 +56,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write `df` as Parquet into the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by `materialize` whose successors are written."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:

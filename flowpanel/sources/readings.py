@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowpanel.functions.ids import id_prefix
 from flowpanel.plans.ordered import keep_ids
@@ -33,7 +34,7 @@ def unpivot_readings(wide: DataFrame, time: str = "date_time", series: list[str]
     """
     names = series if series is not None else series_columns(wide, time)
     ids = wide.sparkSession.createDataFrame(list(enumerate(names)), "_pos int, series_id string")
-    values = F.array(*[F.col(f"`{c}`").cast("double") for c in names])
+    values = F.array(*[F.col(f"`{c}`").cast("double") for c in names]).cast("array<double>")
     return (
         wide.select(time, F.posexplode(values).alias("_pos", "usage"))
         .where(F.col("usage").isNotNull())
@@ -42,6 +43,34 @@ def unpivot_readings(wide: DataFrame, time: str = "date_time", series: list[str]
     )
 
 
+# Columns of a wide table that one scan of `unpivot_in_groups` reads.
+GROUP_COLUMNS = 1000
+
+
+def unpivot_in_groups(
+    spark: SparkSession, path: str, target: str, time: str = "date_time", series: list[str] | None = None,
+    columns: int = GROUP_COLUMNS, mode: str = "errorifexists",
+) -> DataFrame:
+    """`unpivot_readings` of a table with very many columns, written to `target` and read back.
+
+    Each scan reads the time and at most `columns` series, so that neither a plan nor a row holds all
+    of them; Parquet keeps columns apart, so nothing is read twice but the time. Groups are written
+    one after another, each as a folder of its own; a repeated call replaces all of them.
+    """
+    fields = {f.name: f for f in spark.read.parquet(path).schema.fields}
+    names = series if series is not None else [c for c in fields if c != time]
+    empty = unpivot_readings(spark.createDataFrame([], T.StructType([fields[time]])), time, [])
+    out = target.rstrip("/")
+    for k in range(0, len(names), columns):
+        own = names[k : k + columns]
+        wide = spark.read.schema(T.StructType([fields[time], *[fields[c] for c in own]])).parquet(path)
+        unpivot_readings(wide, time, own).write.mode(mode).parquet(f"{out}/group={k // columns}")
+    if not names:
+        return empty
+    back = spark.read.schema(T.StructType([*empty.schema.fields, T.StructField("group", T.IntegerType())])).parquet(out)
+    return back.select(*empty.columns)
+
+
 def limit_series(df: DataFrame, n: int, key: str = "series_id") -> DataFrame:
     """Sanity mode: all rows of the first `n` series by name."""
     ids = df.select(key).distinct().orderBy(key).limit(n)
