@@ -19,9 +19,9 @@ HEADLINE = [
     "unpivot_readings", "join_locations", "asof_weather", "weather_cache_join", "panel_summary", "get_panel_subset",
     "lag_usage", "rolling_sums", "build_features", "norm_stats", "day_windows", "sliding_windows", "training_tensors",
     "hurdle_encode", "window_condition_means", "mean_profile_by_source", "profile_compare", "wasserstein_1d",
-    "magnitude_histogram", "adversarial_features", "best_of_n", "home_labels", "burst_stats", "interarrival",
+    "magnitude_histogram", "magnitude_density", "lag_usage_by_time", "adversarial_features", "best_of_n", "home_labels", "burst_stats", "interarrival",
     "autocorrelation", "forward_noise", "gaussian_predictor", "scenario_encode", "to_sequences", "dtw_pairs",
-    "dba_archetype", "monthly_dtw", "reverse_sample", "adversarial_rf", "adversarial_gbt", "write_panel",
+    "dba_archetype", "monthly_dtw", "monthly_archetypes", "history_distances", "reverse_sample", "adversarial_rf", "adversarial_gbt", "write_panel",
 ]
 
 

@@ -8,7 +8,7 @@ from flowpanel.catalog.inputs import Inputs
 from flowpanel.catalog.registry import query, r, rs
 from flowpanel.functions.calendar import month_label
 from flowpanel.functions.ids import id_strip_zeros
-from flowpanel.operators import adversarial, compare, dtw, sampling, stats
+from flowpanel.operators import adversarial, compare, dtw, forests, sampling, stats
 from flowpanel.operators.adversarial import PREDICTORS
 
 _TRACE = f"home_id, time, {r('usage')}, source, doy, month"
@@ -90,6 +90,20 @@ def magnitude_histogram(i: Inputs):
     return compare.magnitude_histogram(i.traces())
 
 
+@query("magnitude_density", f"""
+WITH v AS (SELECT source, log10(usage) AS v FROM fx_traces WHERE usage > 0),
+whole AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 511 AS step FROM v),
+moments AS (SELECT source, count(*) AS n, stddev_samp(v) AS sd, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM v GROUP BY source),
+bands AS (SELECT source, n, 0.9 * CASE WHEN iqr > 1e-9 THEN least(sd, iqr / 1.34) ELSE sd END * n ** -0.2 AS bw FROM moments),
+spots AS (SELECT source, (v - lo) / step AS a, least(floor((v - lo) / step), 510) AS b FROM v, whole),
+bins AS (SELECT source, bin, sum(w) AS w FROM (SELECT source, b AS bin, 1 - (a - b) AS w FROM spots UNION ALL SELECT source, b + 1, a - b FROM spots) GROUP BY ALL)
+SELECT g.source, CAST(point AS INTEGER) AS point, {r('any_value(lo + point * step)', 'x')},
+  {r('sum(w * exp(-((point - bin) * step / bw) ** 2 / 2) / sqrt(2 * pi()) / bw) / any_value(n)', 'density')}
+FROM (SELECT * FROM bands, whole, range(512) p(point)) g JOIN bins ON g.source = bins.source GROUP BY g.source, point""")
+def magnitude_density(i: Inputs):
+    return compare.magnitude_density(i.traces())
+
+
 @query("peak_usage", f"SELECT home_id, {r('max(usage)', 'peak')} FROM fx_traces GROUP BY 1")
 def peak_usage(i: Inputs):
     return stats.peak_usage(i.traces(), "home_id")
@@ -131,27 +145,51 @@ def match_real_peak(i: Inputs):
     return sampling.match_real_peak(homes, peaks, "home_id", "home_id").select("home_id", "real_peak")
 
 
+@query("match_by_part", f"""
+WITH cols AS (SELECT ltrim(home_id, '0') AS name, row_number() OVER (ORDER BY home_id) AS pos, max(usage) AS peak
+              FROM fx_traces WHERE source = 'Real' GROUP BY home_id),
+homes AS (SELECT DISTINCT CAST(CAST(substring(home_id, 1, 10) AS BIGINT) AS VARCHAR) AS home_id FROM fx_traces),
+found AS (SELECT h.home_id, c.peak, row_number() OVER (PARTITION BY h.home_id ORDER BY c.pos) AS k
+          FROM homes h LEFT JOIN cols c ON contains(c.name, ltrim(h.home_id, '0')))
+SELECT home_id, {r('coalesce(peak, 10.0)', 'real_peak')} FROM found WHERE k = 1""")
+def match_by_part(i: Inputs):
+    """Numeric ids looked up inside the column names; the first column in their order wins."""
+    homes = i.traces().select(F.substring("home_id", 1, 10).cast("bigint").cast("string").alias("home_id")).distinct()
+    peaks = stats.peak_usage(i.traces().where("source = 'Real'"), "home_id")
+    # The columns of a wide table are few; their order is that of the names here.
+    columns = peaks.select(F.col("home_id").alias("name"), F.col("home_id").alias("position"), "peak")
+    return sampling.match_by_part(homes, columns).select("home_id", "real_peak")
+
+
 @query("best_of_n", f"""
 WITH peaks AS (SELECT home_id, max(usage) AS real_peak FROM fx_traces WHERE source = 'Real' GROUP BY 1),
 cand AS (SELECT home_id, window_idx, max(usage) AS peak FROM fx_trace_steps WHERE source = 'Synthetic' GROUP BY 1, 2),
-best AS (SELECT c.home_id, c.window_idx, abs(c.peak - p.real_peak) AS diff,
-                row_number() OVER (PARTITION BY c.home_id ORDER BY abs(c.peak - p.real_peak), c.window_idx) AS k
-         FROM cand c JOIN peaks p ON {_PAIR.format(c='c.home_id')} = p.home_id)
+best AS (SELECT c.home_id, c.window_idx, abs(c.peak - coalesce(p.real_peak, 10.0)) AS diff,
+                row_number() OVER (PARTITION BY c.home_id ORDER BY abs(c.peak - coalesce(p.real_peak, 10.0)), c.window_idx) AS k
+         FROM cand c LEFT JOIN peaks p ON {_PAIR.format(c='c.home_id')} = p.home_id AND CAST(substring(c.home_id, 1, 10) AS BIGINT) % 3 <> 0)
 SELECT b.home_id, b.window_idx AS candidate_id, {r('diff')}, interval, {r('usage')}
 FROM best b JOIN fx_trace_steps s ON b.home_id = s.home_id AND b.window_idx = s.window_idx WHERE k = 1""")
 def best_of_n(i: Inputs):
-    """Of a synthetic home's days the one whose peak is nearest to the peak of its real twin."""
+    """Of a synthetic home's days the one whose peak is nearest to the peak of its real twin.
+
+    Every third home has no twin here, so it is compared with the fallback.
+    """
     candidates = i.trace_windows().where("source = 'Synthetic'").select(
         F.col("series_id").alias("home_id"), F.col("window_idx").alias("candidate_id"), "x"
     )
     real = stats.peak_usage(i.traces().where("source = 'Real'"), "home_id")
-    homes = candidates.select("home_id").distinct().withColumn("real_id", _twin("home_id"))
-    targets = homes.join(real.select(F.col("home_id").alias("real_id"), F.col("peak").alias("real_peak")), "real_id")
+    twin = F.when(F.substring("home_id", 1, 10).cast("bigint") % 3 != 0, _twin("home_id"))
+    homes = candidates.select("home_id").distinct().withColumn("real_id", twin)
+    targets = homes.join(real.select(F.col("home_id").alias("real_id"), F.col("peak").alias("real_peak")), "real_id", "left")
+    targets = targets.withColumn("real_peak", F.coalesce("real_peak", F.lit(sampling.FALLBACK_PEAK)))
     best = sampling.best_of_n(candidates, targets)
     return best.select("home_id", "candidate_id", "diff", F.posexplode("x").alias("interval", "usage"))
 
 
-@query("sample_homes")
+@query("sample_homes", """
+SELECT month, source, home_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY month, source ORDER BY md5('42/' || month || '/' || source || '/' || home_id), home_id) AS k
+  FROM (SELECT DISTINCT month, source, home_id FROM fx_traces)) WHERE k <= 20""")
 def sample_homes(i: Inputs):
     """Twenty homes per source and month."""
     return sampling.sample_homes(i.traces(), 20, groups=("month", "source"))
@@ -206,27 +244,22 @@ def normalize_predictors(i: Inputs):
     return adversarial.normalize_predictors(rows.where("is_train"), rows).drop("is_train")
 
 
-# The grids of the registered runs are small; the operators' defaults are the full ones.
-_RF = {"trees": 20, "folds": 3, "subsets": ("2",), "min_rows": (1, 5), "depth": 5}
-_GBT = {"rounds": 10, "folds": 3, "depths": (3,), "rates": (0.05, 0.1)}
-
-
 def _data(i: Inputs):
-    return i._once("adversarial", lambda: adversarial.split_and_fold(_features(i), 3))
+    return i._once("adversarial", lambda: adversarial.split_and_fold(_features(i)))
 
 
 def _rf(i: Inputs):
-    return i._once("rf", lambda: adversarial.adversarial_rf(*_data(i), **_RF))
+    """500 trees without a depth limit, 10 folds, 5 grid points."""
+    return i._once("rf", lambda: forests.tuned_forest(*_data(i)))
 
 
 def _gbt(i: Inputs):
-    return i._once("gbt", lambda: adversarial.adversarial_gbt(*_data(i), **_GBT))
+    """500 rounds, 10 folds, 5 grid points."""
+    return i._once("gbt", lambda: forests.tuned_boosting(*_data(i)))
 
 
 def _predictions(fit):
-    from pyspark.ml.functions import vector_to_array
-
-    return fit.predictions.select("source", "home_id", "label", vector_to_array("probability")[1].alias("p_synthetic"), "prediction")
+    return fit.predictions.select("source", "home_id", "label", "p_synthetic", "prediction")
 
 
 @query("adversarial_rf")
@@ -239,14 +272,19 @@ def adversarial_gbt(i: Inputs):
     return _predictions(_gbt(i))
 
 
+@query("adversarial_tuning")
+def adversarial_tuning(i: Inputs):
+    return forests.tuning_scores([_rf(i), _gbt(i)])
+
+
 @query("adversarial_metrics")
 def adversarial_metrics(i: Inputs):
-    return adversarial.adversarial_metrics([_rf(i), _gbt(i)])
+    return forests.metrics([_rf(i), _gbt(i)])
 
 
 @query("feature_importance")
 def feature_importance(i: Inputs):
-    return adversarial.feature_importance([_rf(i), _gbt(i)])
+    return forests.importance([_rf(i), _gbt(i)])
 
 
 # Warping. A sequence is one home on one day.
@@ -269,7 +307,18 @@ def _pairs(i: Inputs):
     return dtw.sample_pairs(dtw.sample_sequences(i.traces(), keys=("home_id", "doy")), keys=("home_id", "doy"))
 
 
-@query("sample_pairs")
+@query("sample_pairs", """
+WITH drawn AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42/' || source || '/' || home_id || '/' || doy), home_id, doy) AS k
+               FROM (SELECT DISTINCT source, home_id, doy FROM fx_traces)),
+kept AS (SELECT source, k, home_id || '/' || doy AS id FROM drawn WHERE k <= 100),
+sizes AS (SELECT min(n) AS n FROM (SELECT source, count(*) AS n FROM kept GROUP BY source) HAVING count(*) = 2),
+kinds(comparison, a, b) AS (VALUES ('Real-vs-Real', 'Real', 'Real'), ('Synthetic-vs-Synthetic', 'Synthetic', 'Synthetic'),
+                                   ('Real-vs-Synthetic', 'Real', 'Synthetic')),
+draws AS (SELECT *, 1 + ('0x' || md5('42/' || comparison || '/' || pair_id || '/a')[1:8])::BIGINT % n AS ka,
+                 1 + ('0x' || md5('42/' || comparison || '/' || pair_id || '/b')[1:8])::BIGINT % n AS kb
+          FROM sizes, kinds, (SELECT CAST(i AS INTEGER) AS pair_id FROM range(1, 1001) p(i)))
+SELECT comparison, pair_id, x.id AS id_a, y.id AS id_b
+FROM draws d JOIN kept x ON x.source = d.a AND x.k = d.ka JOIN kept y ON y.source = d.b AND y.k = d.kb""")
 def sample_pairs(i: Inputs):
     return _pairs(i).drop("seq_a", "seq_b")
 
@@ -299,6 +348,33 @@ def dtw_alignment_path(i: Inputs):
     return dtw.thin_rows(dtw.mapping_segments(path, _archetypes(i)))
 
 
+@query("history_distances")
+def history_distances(i: Inputs):
+    """The whole history of every synthetic home against that of its real twin, in blocks."""
+    traces = i.traces()
+    homes = traces.where("source = 'Synthetic'").select("home_id").distinct()
+    pairs = homes.select(
+        F.col("home_id").alias("pair_id"), F.lit("Real").alias("source_a"), _twin("home_id").alias("home_id_a"),
+        F.lit("Synthetic").alias("source_b"), F.col("home_id").alias("home_id_b"))
+    return dtw.history_distances(pairs, dtw.to_histories(traces))
+
+
 @query("monthly_dtw")
 def monthly_dtw(i: Inputs):
     return dtw.monthly_dtw(i.traces())
+
+
+def _monthly(i: Inputs):
+    """A sequence is one home on one day, as in the archetypes of the whole time."""
+    return i._once("monthly-dba", lambda: dtw.monthly_archetypes(i.traces(), parts=("doy",)))
+
+
+@query("monthly_archetypes")
+def monthly_archetypes(i: Inputs):
+    return _monthly(i)
+
+
+@query("monthly_alignment")
+def monthly_alignment(i: Inputs):
+    path = dtw.dtw_alignment_path(_monthly(i), ("month",))
+    return dtw.thin_rows(dtw.mapping_segments(path, _monthly(i), ("month",)), ("month",))

@@ -15,6 +15,16 @@ def hash_key(seed: int, *keys) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def text_key(seed: int, *keys) -> Column:
+    """The md5 of seed and keys joined by slashes, in hexadecimal: a hash that other engines have too."""
+    return F.md5(F.concat_ws("/", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
+
+
+def text_pick(seed: int, n: Column, *keys) -> Column:
+    """An integer in [0, n) from the first 32 bits of `text_key`."""
+    return F.conv(F.substring(text_key(seed, *keys), 1, 8), 16, 10).cast("bigint") % n.cast("bigint")
+
+
 def uniform(seed: int, *keys) -> Column:
     """A uniform in [0, 1) with 53 random bits."""
     return F.shiftrightunsigned(hash_key(seed, *keys), 11).cast("double") * F.lit(2.0**-53)

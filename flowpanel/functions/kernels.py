@@ -104,17 +104,22 @@ def dtw_paths(x, y, band):
     return cost, cells
 
 
-def barycenter_sums(sequences, centroid, band):
-    """Sum and count of the sequence values aligned to each step of the centroid."""
+def barycenter_sums(sequences, centroid, band, weights=None):
+    """Sum and count of the sequence values aligned to each step of the centroid.
+
+    A sequence with a weight counts as so many equal ones.
+    """
     total = np.zeros(len(centroid))
     count = np.zeros(len(centroid), dtype=np.int64)
+    weights = np.ones(len(sequences), dtype=np.int64) if weights is None else np.asarray(weights, dtype=np.int64)
     lengths = {}
-    for s in sequences:
+    for s, w in zip(sequences, weights):
         if s is not None and len(s):
-            lengths.setdefault(len(s), []).append(np.asarray(s, dtype=float))
+            lengths.setdefault(len(s), []).append((np.asarray(s, dtype=float), w))
     for length, group in lengths.items():
         for block in _blocks(group, len(centroid), length, band, keep_steps=True):
-            y = np.stack(block)
+            y = np.stack([s for s, _ in block])
+            w = np.array([w for _, w in block], dtype=np.int64)
             x = np.broadcast_to(np.asarray(centroid, dtype=float), (len(block), len(centroid)))
             _, cells = dtw_paths(x, y, band)
             if not cells:
@@ -122,8 +127,9 @@ def barycenter_sums(sequences, centroid, band):
             live = np.stack([c[2] for c in cells])
             i = np.stack([c[0] for c in cells])[live]
             values = np.stack([y[np.arange(len(block)), c[1]] for c in cells])[live]
-            total += np.bincount(i, weights=values, minlength=len(centroid))
-            count += np.bincount(i, minlength=len(centroid))
+            times = np.broadcast_to(w, live.shape)[live]
+            total += np.bincount(i, weights=values * times, minlength=len(centroid))
+            count += np.bincount(i, weights=times, minlength=len(centroid)).astype(np.int64)
     return total, count
 
 

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowpanel.functions import kernels
-from flowpanel.functions.hashing import hash_key, pick
+from flowpanel.functions.hashing import hash_key, text_key, text_pick
 from flowpanel.operators.compare import REAL, SYNTHETIC
 from flowpanel.operators.sampling import sample_homes
 from flowpanel.plans.ordered import keep_ids
-from flowpanel.session import materialize, spread
+from flowpanel.session import discard, materialize, spread
 
 # Fixed values of the evaluation.
 BAND = 8
@@ -34,6 +34,57 @@ def to_sequences(
     )
 
 
+# Steps of a long history that lie in one row.
+HISTORY_STEPS = 4096
+
+
+def to_histories(
+    df: DataFrame, keys: tuple[str, ...] = ("source", "home_id"), time: str = "time", value: str = "usage", steps: int = HISTORY_STEPS,
+) -> DataFrame:
+    """Whole histories in blocks: `keys, block, seq`, at most `steps` values in a row, in time order.
+
+    Rows are numbered by day counts, so no task sorts a history; repeated times count by value.
+    """
+    whole = df.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"))
+    day = whole.withColumn("_day", F.to_date("_t"))
+    counts = day.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    same = F.col("_day").eqNullSafe(F.col("_d"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy("_t", "_v")) - 1
+    placed = day.withColumn("_i", inside).join(offsets, same).withColumn("_pos", F.col("_offset") + F.col("_i"))
+    return placed.groupBy(*keys, F.floor(F.col("_pos") / steps).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "_v"))).getField("_v").alias("seq"))
+
+
+def history_distances(
+    pairs: DataFrame, histories: DataFrame, keys: tuple[str, ...] = ("source", "home_id"), pair_id: str = "pair_id", band: int = BAND,
+) -> DataFrame:
+    """`pair_id, distance` of pairs of whole histories, put together only where a pair is warped.
+
+    `pairs` has the pair and the keys of both ends, suffixed _a and _b. The blocks of a pair meet in
+    one group, the size of its two histories; the band keeps the warping linear in their length.
+    """
+    distances = kernels.dtw_distances
+    ends = []
+    for side in "ab":
+        own = pairs.select(pair_id, *[F.col(f"{k}_{side}").alias(k) for k in keys])
+        ends.append(own.join(histories, list(keys)).select(pair_id, F.lit(side).alias("side"), "block", "seq"))
+
+    def warp(rows: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        ordered = rows.sort_values("block")
+        a, b = (np.concatenate([np.empty(0), *ordered.loc[ordered["side"] == side, "seq"]]) for side in "ab")
+        return pd.DataFrame({pair_id: [rows[pair_id].iloc[0]], "distance": distances([a], [b], band)})
+
+    kind = pairs.schema[pair_id].dataType.simpleString()
+    found = ends[0].unionByName(ends[1]).groupBy(pair_id).applyInPandas(warp, f"{pair_id} {kind}, distance double")
+    return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+
+
 def dtw_distance(left, right, band: int | None = BAND) -> Column:
     """Warping distance of two array columns; NULL where no path stays inside the band."""
     distances = kernels.dtw_distances
@@ -55,7 +106,7 @@ def sample_sequences(
     Keys are drawn first, so only the rows of the drawn sequences are collected into arrays.
     """
     whole = [*groups, "source", *keys]
-    order = Window.partitionBy(*groups, "source").orderBy(hash_key(seed, *whole), *keys)
+    order = Window.partitionBy(*groups, "source").orderBy(text_key(seed, *whole), *keys)
     drawn = (
         traces.select(*whole).distinct()
         .withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n_sample)
@@ -87,7 +138,7 @@ def sample_pairs(
     )
 
     def rank(side: str) -> Column:
-        return (pick(seed, F.col("_n"), *groups, "comparison", "pair_id", F.lit(side)) + 1).cast("int")
+        return (text_pick(seed, F.col("_n"), *groups, "comparison", "pair_id", F.lit(side)) + 1).cast("int")
 
     draws = draws.withColumns({"_ka": rank("a"), "_kb": rank("b")})
 
@@ -120,49 +171,53 @@ def dba_archetype(
     sequences: DataFrame, keys: tuple[str, ...] = ("source",), seq_id: str = "home_id", iterations: int = 20,
     tolerance: float = 1e-3, band: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """Warping barycenter per key: `keys, step, value`.
+    """Warping barycenter per key: `keys, step, value, rounds`.
 
-    Each round sends the centroids out and brings back one sum and count per step; sequences
-    stay where they are. The first centroid is the sequence with the smallest seeded hash.
+    Sequences stay where they are, equal ones as one with a weight. The centroids are a table: in
+    each round those that still move are joined to their sequences, one sum and count per step comes
+    back from every task, and the new centroids are written. A key is done when no step moved by
+    `tolerance`; `rounds` says how many rounds it took. The first centroid is the sequence with the
+    smallest seeded hash.
     """
-    spark = sequences.sparkSession
-    kept = materialize(spread(sequences.select(*keys, seq_id, "seq"), *keys, seq_id), "dba-sequences")
-    start = kept.groupBy(*keys).agg(F.min_by("seq", F.struct(hash_key(seed, *keys, seq_id), F.col(seq_id))).alias("seq"))
-    # One centroid per key (sources, or sources x months).
-    centroids = {tuple(r[k] for k in keys): [float(v) for v in r["seq"]] for r in start.collect()}
+    typed = sequences.select(*keys, seq_id, F.col("seq").cast("array<double>").alias("seq"))
+    start = typed.groupBy(*keys).agg(F.min_by("seq", F.struct(hash_key(seed, *keys, seq_id), F.col(seq_id))).alias("centroid"))
+    start = start.where(F.size("centroid") > 0)
+    equal = typed.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("weight"))
+    kept = materialize(spread(equal, *keys, "seq"), "dba-sequences")
+    current = materialize(start.withColumns({"rounds": F.lit(0).cast("bigint"), "done": F.lit(iterations <= 0)}), "dba-centroids")
     key_schema = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
     sums_of = kernels.barycenter_sums
-    n_keys = len(keys)
+    names = list(keys)
+
+    def partial(batches):
+        totals = {}
+        for batch in batches:
+            for key, rows in batch.groupby(names, sort=False, observed=True, dropna=False):
+                total, count = sums_of(rows["seq"].tolist(), rows["centroid"].iloc[0], band, rows["weight"].to_numpy())
+                if key in totals:
+                    total, count = totals[key][0] + total, totals[key][1] + count
+                totals[key] = (total, count)
+        for key, (total, count) in totals.items():
+            out = {k: [key[i]] * len(total) for i, k in enumerate(names)}
+            yield pd.DataFrame({**out, "step": range(len(total)), "total": total, "n": count})
+
     for _ in range(iterations):
-        current = dict(centroids)
-
-        def partial(batches, current=current):
-            totals = {}
-            for batch in batches:
-                for key, rows in batch.groupby(list(keys), sort=False, observed=True):
-                    key = key if isinstance(key, tuple) else (key,)
-                    total, count = sums_of(rows["seq"].tolist(), current[key], band)
-                    if key in totals:
-                        total, count = totals[key][0] + total, totals[key][1] + count
-                    totals[key] = (total, count)
-            for key, (total, count) in totals.items():
-                out = {k: [key[i]] * len(total) for i, k in enumerate(keys)}
-                yield pd.DataFrame({**out, "step": range(len(total)), "total": total, "n": count})
-
-        sums = kept.mapInPandas(partial, f"{key_schema}, step int, total double, n bigint")
-        rows = sums.groupBy(*keys, "step").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).collect()
-        moved = 0.0
-        for r in rows:
-            if r["n"]:
-                key, value = tuple(r[k] for k in keys), r["total"] / r["n"]
-                moved = max(moved, abs(value - current[key][r["step"]]))
-                centroids[key][r["step"]] = value
-        centroids = {k: list(v) for k, v in centroids.items()}
-        if moved < tolerance:
+        moving = current.where(~F.col("done"))
+        if moving.isEmpty():
             break
-    flat = [(*key, step, value) for key, seq in centroids.items() for step, value in enumerate(seq)]
-    assert all(len(r) == n_keys + 2 for r in flat)
-    return spark.createDataFrame(flat, f"{key_schema}, step int, value double")
+        rows = kept.join(moving.select(*keys, "centroid"), names)
+        sums = rows.mapInPandas(partial, f"{key_schema}, step int, total double, n bigint")
+        means = sums.groupBy(*keys, "step").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        steps = moving.select(*keys, F.posexplode("centroid").alias("step", "old")).join(means, [*names, "step"], "left")
+        value = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.col("old"))
+        moved = steps.select(*keys, "step", value.alias("value"), F.abs(value - F.col("old")).alias("by")).groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct("step", "value"))).getField("value").alias("centroid"), F.max("by").alias("by"))
+        after = moving.select(*keys, "rounds").join(moved, names).select(
+            *keys, "centroid", (F.col("rounds") + 1).alias("rounds"), (F.col("by") < tolerance).alias("done"))
+        following = materialize(current.where("done").unionByName(after), "dba-centroids")
+        discard(current)
+        current = following
+    return current.select(*keys, F.posexplode("centroid").alias("step", "value"), "rounds")
 
 
 def _archetype_pairs(archetypes: DataFrame, groups: tuple[str, ...]) -> DataFrame:
@@ -241,11 +296,14 @@ def monthly_dtw(
 
 def monthly_archetypes(
     traces: DataFrame, homes: int = HOMES_PER_MONTH, iterations: int = 20, band: int | None = None, seed: int = 42,
-    time: str = "time",
+    time: str = "time", parts: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The archetype of every month and source: `month, source, step, value`.
+    """The archetype of every month and source: `month, source, step, value, rounds`.
 
+    A sequence is a home's month, or with `parts`, columns that cut the month, one part of it.
     `dtw_alignment_path` and `mapping_segments` with groups=("month",) align the two of a month.
     """
-    sequences = to_sequences(_month_homes(traces, homes, seed, time), ("month", "source", "home_id"), time)
-    return dba_archetype(sequences, ("month", "source"), iterations=iterations, band=band, seed=seed)
+    kept = _month_homes(traces, homes, seed, time)
+    sequences = to_sequences(kept, ("month", "source", "home_id", *parts), time)
+    sequences = sequences.withColumn("_id", F.concat_ws("/", "home_id", *[F.col(p).cast("string") for p in parts]))
+    return dba_archetype(sequences, ("month", "source"), "_id", iterations, band=band, seed=seed)
