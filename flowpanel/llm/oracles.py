@@ -88,3 +88,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length(role) + length(text) + extra + length('### : </turn>') + 1)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+
+_SPACED = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+# Shingles of five words; an item of fewer words is one shingle of its own width k.
+DECONTAMINATE = f"""
+WITH dw AS (SELECT doc_id, {_SPACED} AS w FROM documents WHERE doc_id IS NOT NULL),
+iw AS (SELECT item_id, w, least(len(w), 5) AS k FROM (SELECT item_id, {_SPACED} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM iw)),
+d AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM iw))),
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY 1),
+c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN q ON d.k = q.k AND d.s = q.s GROUP BY 1, 2)
+SELECT doc_id, c.item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM c JOIN n ON c.item_id = n.item_id WHERE 100 * n_shared >= 80 * n_item"""

@@ -74,18 +74,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
-def _shingles_sql(table: str, key: str) -> str:
-    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') AS s FROM (
-  SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {key}, {words} AS w FROM {table} WHERE {key} IS NOT NULL))"""
-
-
-ORACLES["op9_decontaminate"] = f"""
-WITH d AS ({_shingles_sql('documents', 'doc_id')}), q AS ({_shingles_sql('benchmark', 'item_id')}),
-n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY 1),
-c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN q ON d.s = q.s GROUP BY 1, 2)
-SELECT doc_id, c.item_id, n_item, n_shared, n_shared / n_item AS containment
-FROM c JOIN n ON c.item_id = n.item_id WHERE 100 * n_shared >= 80 * n_item"""
+ORACLES["op9_decontaminate"] = oracles.DECONTAMINATE
 
 
 @query
