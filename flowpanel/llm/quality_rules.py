@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from flowpanel.llm.common import once
 
+# Texts up to so many words have positions of 25 bits.
+SHORT_WORDS = 1 << 25
 SPACE = r"[\x20\x09-\x0D]"
 
 # name: (statistic, True when high values are bad, cutoffs from mild to strict)
@@ -37,14 +39,18 @@ def _with_repeat_words(rows: DataFrame) -> DataFrame:
     """Add n_repeat_words, the words of `w` inside a 3-word window that occurs at least twice.
 
     Windows are hashed; hash and position are packed into one number, so that sorting plain numbers
-    brings equal windows together. What the shortened hash joins is separated by the whole hash.
+    brings equal windows together. What the shortened hash joins is separated by the whole hash. The
+    position takes 25 bits, in texts of more words 31.
     Each step is a projection of its own and used at least twice by the next, so that Spark
     evaluates it once per document and not once per element.
     """
     n = F.size("w")
     window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    high = lambda x: F.shiftright(x, 25)
-    pack = lambda h, i: F.shiftleft(F.shiftrightunsigned(h, 26), 25).bitwiseOR(i.cast("bigint"))
+    bits = F.when(n <= SHORT_WORDS, F.lit(25)).otherwise(F.lit(31))
+    shifted = lambda how, x, by: F.call_function(how, x, by)
+    high = lambda x: shifted("shiftright", x, F.col("bits"))
+    pack = lambda h, i: shifted("shiftleft", shifted("shiftrightunsigned", h, F.col("bits") + 1), F.col("bits")).bitwiseOR(i.cast("bigint"))
+    low = lambda x: x.bitwiseAND(F.when(F.col("bits") == 25, F.lit((1 << 25) - 1)).otherwise(F.lit((1 << 31) - 1)).cast("bigint"))
 
     def twins(column: str, key):
         at = F.col(column)
@@ -52,23 +58,26 @@ def _with_repeat_words(rows: DataFrame) -> DataFrame:
 
     keep = [c for c in rows.columns]
     empty = F.array().cast("array<bigint>")
-    rows = rows.select(*keep, F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(empty).alias("h"))
-    # 38 bits of hash above 25 bits of position
-    rows = rows.select(*keep, "h", F.sort_array(F.transform("h", pack)).alias("packed"))
-    rows = rows.select(*keep, "h", twins("packed", high).alias("near"))
-    pairs = F.transform("near", lambda x: (lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))(x.bitwiseAND((1 << 25) - 1).cast("int")))
+    rows = rows.select(*keep, bits.alias("bits"), F.when(n >= 4, F.transform(F.sequence(F.lit(0), n - 3), window)).otherwise(empty).alias("h"))
+    # The rest of the hash above the bits of the position, and a sign that is never set.
+    rows = rows.select(*keep, "bits", "h", F.sort_array(F.transform("h", pack)).alias("packed"))
+    rows = rows.select(*keep, "bits", "h", twins("packed", high).alias("near"))
+    pairs = F.transform("near", lambda x: (lambda p: F.struct(F.get("h", p).alias("h"), p.alias("p")))(low(x).cast("int")))
     rows = rows.select(*keep, F.when(F.size("near") > 0, F.sort_array(pairs)).alias("pairs"))
     rows = rows.select(*keep, F.sort_array(F.transform(twins("pairs", lambda x: x["h"]), lambda x: x["p"])).alias("at"))
     gaps = F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3))))
     total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda acc, g: acc + g)
-    return rows.select(*keep, F.coalesce(total, F.lit(0).cast("bigint")).alias("n_repeat_words"))
+    # Filters on the number stay above it: below, they would repeat its definition for every element.
+    return rows.select(*keep, once(F.coalesce(total, F.lit(0).cast("bigint"))).alias("n_repeat_words"))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
     """Counts per document: id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
 
     Words are runs of characters other than space and \\x09-\\x0D; word_chars are code points. A null
-    text has no words. Lines are cut at \\n; those without a word do not count.
+    text has no words. Lines are cut at \\n; those without a word do not count. Every row gives a row:
+    repeated and null ids are counted like others; an empty table gives none. Other columns are
+    ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), text.alias("t"))
@@ -169,7 +178,8 @@ def thresholds(stats: DataFrame, labels: DataFrame, max_false: float = 0.01, err
 def apply_rules(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """`stats` with base_failed, kept and the name of the rules that rejected a document.
 
-    A stratum without certified cutoffs is judged by the base rules alone.
+    A stratum without certified cutoffs is judged by the base rules alone. Rows are judged one by
+    one: repeated and null ids keep all their rows, an empty table has none.
     """
     by_stratum = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
     by_stratum = by_stratum.select(F.col("stratum").alias("_s"), *[F.col(r).alias(f"_{r}") for r in RULES])
