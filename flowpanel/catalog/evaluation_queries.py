@@ -98,7 +98,7 @@ bands AS (SELECT source, n, 0.9 * CASE WHEN iqr > 1e-9 THEN least(sd, iqr / 1.34
 spots AS (SELECT source, (v - lo) / step AS a, least(floor((v - lo) / step), 510) AS b FROM v, whole),
 bins AS (SELECT source, bin, sum(w) AS w FROM (SELECT source, b AS bin, 1 - (a - b) AS w FROM spots UNION ALL SELECT source, b + 1, a - b FROM spots) GROUP BY ALL)
 SELECT g.source, CAST(point AS INTEGER) AS point, {r('any_value(lo + point * step)', 'x')},
-  {r('sum(w * exp(-((point - bin) * step / bw) ** 2 / 2) / sqrt(2 * pi()) / bw) / any_value(n)', 'density')}
+  {r('sum(w * exp(-0.5 * pow((point - bin) * step / bw, 2)) / sqrt(2 * pi()) / bw) / any_value(n)', 'density')}
 FROM (SELECT * FROM bands, whole, range(512) p(point)) g JOIN bins ON g.source = bins.source GROUP BY g.source, point""")
 def magnitude_density(i: Inputs):
     return compare.magnitude_density(i.traces())
