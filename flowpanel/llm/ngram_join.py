@@ -34,6 +34,8 @@ THRESHOLD = (80, 100)  # intersection * 100 >= union * 80
 # Buckets of the frequency counts that order the shingles: a fixed size, whatever the corpus.
 BUCKETS = 1 << 20
 CHUNKS = 32
+# Bits of the map that tells which texts may be asked for: 2 MB, whatever the corpus.
+MARKS = 1 << 24
 # Sets kept by a verifying task.
 KEPT_SETS = 64
 
@@ -157,6 +159,69 @@ def compared(s: np.ndarray, t: np.ndarray) -> tuple[int, np.ndarray | None]:
     return len(both), np.concatenate([added | np.uint64(1), missing & ~np.uint64(1)]).view(np.int64)
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits, of fixed size whatever the ids, with the bit of every id set."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(MARKS, dtype=bool)
+        for b in batches:
+            bits[_mark(b.column(0))] = True
+        if bits.any():
+            parts = [zstandard.compress(p.tobytes(), 1) for p in np.split(np.packbits(bits), CHUNKS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zstandard.decompress(bits), dtype=np.uint8)
+                whole[chunk] = whole[chunk] | part if chunk in whole else part
+        if whole:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(whole), pa.int32()), pa.array([zstandard.compress(v.tobytes(), 1) for v in whole.values()], pa.binary())], names=["chunk", "bits"])
+
+    parts = ids.select("id").mapInArrow(mark, "chunk int, bits binary")
+    halves = parts.repartition(CHUNKS * 4, "chunk", F.xxhash64("bits") % 8).mapInArrow(join, "chunk int, bits binary")
+    out = np.zeros((CHUNKS, MARKS // 8 // CHUNKS), dtype=np.uint8)
+    for r in halves.repartition(CHUNKS, "chunk").mapInArrow(join, "chunk int, bits binary").collect():  # MARKS / 8 bytes at most
+        out[r["chunk"]] = np.frombuffer(zstandard.decompress(r["bits"]), dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _mark(ids: pa.Array) -> np.ndarray:
+    return (mix64(ids.to_numpy().view(np.uint64)) % np.uint64(MARKS)).astype(np.int64)
+
+
+def _texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of `texts` with one of the `ids`. Most others are left out where they lie, by a bitmap of the ids.
+
+    With so many ids that the bitmap is full, the join alone decides.
+    """
+    marks = ids.sparkSession.sparkContext.broadcast(_marked(ids))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for b in batches:
+            at = _mark(b.column(0))
+            yield b.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return texts.select("id", "z").mapInArrow(likely, "id bigint, z binary").join(ids, "id", "left_semi")
+
+
+def _pair_texts(pairs: DataFrame, texts: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The texts of the sets in `pairs`, so that joins with the pairs move no others; `known` has some already."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if known is not None:
+        ids = ids.join(known.select("id"), "id", "left_anti")
+    ids = cut(ids, "pair-ids")
+    if known is not None and ids.isEmpty():
+        release(ids)
+        return known
+    own = _texts_of(ids, texts)
+    out = cut(own if known is None else own.unionByName(known), "pair-texts")
+    release(ids, known)
+    return out
+
+
 def _overlaps(pairs: DataFrame, texts: DataFrame, width: int, name: str) -> DataFrame:
     """Pairs (a, b) with n, m and the exact size of their intersection, computed from the texts.
 
@@ -199,8 +264,8 @@ def _similar(threshold: tuple[int, int]):
     return (F.col("common") > 0) & (F.col("common") * den >= (F.col("n") + F.col("m") - F.col("common")) * num)
 
 
-def of_one_leader(first: DataFrame, roots: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of sets near one leader, in different components, that may be similar.
+def of_one_leader(first: DataFrame, roots: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets near one leader, in different components, that may be similar; the table behind them.
 
     With the differences to the leader known, the overlap of two sets is what the leader keeps in
     both plus the differences they share; so many shared differences are needed that one of them is
@@ -221,11 +286,11 @@ def of_one_leader(first: DataFrame, roots: DataFrame, threshold: tuple[int, int]
     early = (F.col("x.pos") + need <= F.col("x.size")) & (F.col("y.pos") + need <= F.col("y.size"))
     same = (F.col("x.lid") == F.col("y.lid")) & (F.col("x.token") == F.col("y.token"))
     pairs = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & early)
-    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), near
 
 
-def _of_one_list(entries: DataFrame, first: DataFrame, roots: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of one list, in different components, that no answer for the leader decides."""
+def _of_one_list(entries: DataFrame, first: DataFrame, roots: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one list, in different components, that no answer for the leader decides; the table behind them."""
     to_leader = first.select(
         F.col("a").alias("id"), F.col("b").alias("lid"), (F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("share"),
         F.col("diff").isNotNull().alias("near"))
@@ -248,7 +313,7 @@ def _of_one_list(entries: DataFrame, first: DataFrame, roots: DataFrame, thresho
     # A leader that a member was not compared with tells nothing.
     open_ = F.coalesce(F.abs(F.col("x.share") - F.col("y.share")) <= limit, F.lit(True)) & ~(F.col("x.near") & F.col("y.near"))
     pairs = left.join(right, other & once_each & open_ & _first_common("x", "y", threshold))
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), members
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -285,12 +350,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     release(kept)
     stars = entries.where("id <> lid").select(
         F.struct("id", "n", "pos").alias("x"), F.struct(F.col("lid").alias("id"), F.col("ln").alias("n"), F.col("lpos").alias("pos")).alias("y"))
-    stars = stars.where(_first_common("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    first = _overlaps(stars, texts, width, "star-overlaps")
+    stars = cut(stars.where(_first_common("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "star-pairs")
+    own = _pair_texts(stars, texts)
+    first = _overlaps(stars, own, width, "star-overlaps")
+    release(stars)
     linked = components(first.where(_similar(threshold)), "stars")
     roots = linked.select(F.col("node").alias("id"), "root")
-    seconds = cut(of_one_leader(first, roots, threshold).unionByName(_of_one_list(entries, first, roots, threshold)).distinct(), "other-pairs")
-    second = _overlaps(seconds, texts, width, "other-overlaps").where(_similar(threshold)).select("a", "b")
+    near, mixed = of_one_leader(first, roots, threshold), _of_one_list(entries, first, roots, threshold)
+    scratch = [near[1], mixed[1]]
+    seconds = cut(near[0].unionByName(mixed[0]).distinct(), "other-pairs")
+    release(entries, first, *scratch)
+    own = _pair_texts(seconds, texts, own)
+    release(texts)
+    overlaps = _overlaps(seconds, own, width, "other-overlaps")
+    release(seconds, own)
+    stars_linked, second = linked, overlaps.where(_similar(threshold)).select("a", "b")
     linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second).unionByName(same), "links")
+    release(stars_linked, overlaps, classes)
     out = sets.join(linked, sets.doc_id == linked.node, "left")
     return out.select(sets.doc_id, F.col("n").alias("n_shingles"), F.coalesce("root", sets.doc_id).alias("component_id"))
