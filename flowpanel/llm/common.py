@@ -94,11 +94,13 @@ def packed(docs: DataFrame, ids: str, text: str) -> DataFrame:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads all bits of unsigned 64-bit values."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    y = x >> np.uint64(31)
+    y ^= x
+    y *= np.uint64(0x9E3779B97F4A7C15)
+    y ^= y >> np.uint64(29)
+    y *= np.uint64(0xBF58476D1CE4E5B9)
+    y ^= y >> np.uint64(32)
+    return y
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
