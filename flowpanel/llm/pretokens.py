@@ -8,6 +8,7 @@ kept in a bounded table per worker, and a document is the concatenation of its p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 # Pieces kept per worker; the table starts anew when it is full. The results do not depend on it.
@@ -37,23 +38,38 @@ def pieces(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+# Fixed value: the characters of Unicode's White_Space.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+# The byte-level pattern treats white space before a word like this, and nothing else looks across it.
+_WORDS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]")
+
+
+def word_pieces(text: str) -> list[str]:
+    """`text` cut at all white space, as the byte-level pattern itself cuts there; joined they are `text`.
+
+    Finer than `pieces`, so more pieces repeat; only for tokenizers with exactly that pattern.
+    """
+    return _WORDS.findall(text)
+
+
 class PieceTable:
     """Ids of pieces as bytes; missing ones are encoded together by `encode`."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], cut: Callable[[str], list[str]] = pieces, kept: int = KEPT_PIECES):
         self.encode = encode
+        self.cut = cut
+        self.kept = kept
         self.known: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cuts = [pieces(t) for t in texts]
+        cuts = [self.cut(t) for t in texts]
         known = self.known
-        missing = list({p for c in cuts for p in c if p not in known})
-        if len(known) + len(missing) > KEPT_PIECES:
+        missing = list(set().union(*cuts).difference(known))
+        if len(known) + len(missing) > self.kept:
             known.clear()
-            missing = list({p for c in cuts for p in c})
-        new = dict(zip(missing, self.encode(missing), strict=True))
-        known.update(new)
-        out = [b"".join([known[p] for p in c]) for c in cuts]
+            missing = list(set().union(*cuts))
+        known.update(zip(missing, self.encode(missing), strict=True))
+        out = [b"".join(map(known.__getitem__, c)) for c in cuts]
         for p in missing:
             if len(p) > KEPT_CHARS:
                 del known[p]
