@@ -1,5 +1,9 @@
 """Every stage of the pipeline against brute force, on the smallest tables and on odd rows."""
 
+import hashlib
+import random
+import re
+
 import brute
 import corpus_pipeline
 import pytest
@@ -22,7 +26,7 @@ def stage(name):
 
 
 def ids(df):
-    return sorted(r[0] or -1 for r in df.select("doc_id").collect())
+    return sorted(-1 if r[0] is None else r[0] for r in df.select("doc_id").collect())
 
 
 def test_stages_keep_the_columns(spark, rows):
@@ -45,6 +49,9 @@ def test_line_stage(spark, rows):
     got = {r["doc_id"]: r for r in stage("line_dedup")(spark, rows, SF).collect()}
     for d, t in data:
         kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
+        if gone[d] and not re.search(brute.SPACE, kept):  # all its lines are kept elsewhere
+            assert d not in got
+            continue
         assert got[d]["text"] == kept
         assert not gone[d] or got[d]["n_chars"] == len(kept)
 
@@ -61,8 +68,22 @@ def test_benchmark_stage(spark, rows):
     for r in rows.collect():
         own = brute.shingles(r["text"])
         if not any(s and 100 * len(s & own) >= 80 * len(s) for s in items):
-            want.append(r["doc_id"] or -1 if r["doc_id"] is not None else -1)
-    assert len(ids(stage("decontaminate")(spark, rows, SF))) == len(want) < rows.count()
+            want.append(-1 if r["doc_id"] is None else r["doc_id"])
+    assert ids(stage("decontaminate")(spark, rows, SF)) == sorted(want) and len(want) < rows.count()
+
+
+def test_stages_take_empty_tables_and_long_texts(spark, rows):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(5000)]
+    text = "\n".join(" ".join(rnd.choice(words) for _ in range(20)) for _ in range(20_000))  # 2.4 MB
+    long = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "short", "en", "s", 5)], rows.schema)
+    for name, run in corpus_pipeline.STAGES[:-1]:
+        assert run(spark, rows.limit(0), SF).count() == 0, name
+        got = {r["doc_id"]: r["text"] for r in run(spark, long, SF).collect()}
+        assert got[1] == text, name
+    assert corpus_pipeline.encode(spark, rows.limit(0), SF).count() == 0
+    found = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, long, SF).collect()}
+    assert found[1]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_run(spark, rows):

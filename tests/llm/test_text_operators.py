@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from flowpanel.llm import bpe, line_dedup, ngram_join, suffix_array, suffix_dedup, token_files
 from flowpanel.llm.common import components
-from flowpanel.llm.pretokens import pieces
+from flowpanel.llm.pretokens import pieces, word_pieces
 from tokenizers import Tokenizer
 
 # A clashing column for most helpers' names.
@@ -144,7 +144,6 @@ def test_spark_hash_of_a_line_is_the_one_in_python(spark):
 def test_token_files(spark, corpus, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     parts = token_files.write_tokens(odd_docs(spark, corpus), path, str(tmp_path / "tokens"), end_id=2, parts=5)
     got = sorted(token_files.read_tokens(parts, str(tmp_path / "tokens")).collect())
     start = 0
@@ -164,11 +163,43 @@ def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
     assert token_files.read_tokens(token_files.write_tokens(docs.limit(0), path, str(tmp_path / "e"), 2), str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_take_added_tokens_as_a_plain_call_does(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rnd = random.Random(12)
+    bits = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "\n\n", "\t", "x", "word's", "é中", "\x1c", "\xa0", "\u2028", "!", "1", "don't", " \n"]
+    texts = ["x <|endoftext|> y"] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 12))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for end in (2, 70_000):  # the second needs 32 bits
+        folder = str(tmp_path / f"added-{end}")
+        got = sorted(token_files.read_tokens(token_files.write_tokens(docs, path, folder, end, parts=3), folder).collect())
+        start = 0
+        for r, t in zip(got, texts, strict=True):
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, end]
+            assert tuple(r)[1:] == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())), t
+            start += len(ids)
+    assert got[0]["n_tokens"] == 5
+
+
+def test_token_files_split_one_id_that_holds_many_rows(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(7, f"text {i}") for i in range(300)] + [(None, f"null {i}") for i in range(300)] + [(i, "x") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = []
+    for parts in (1, 8):
+        folder = str(tmp_path / f"hot-{parts}")
+        table = token_files.write_tokens(docs, path, folder, 2, parts=parts)
+        found.append(sorted(map(str, token_files.read_tokens(table, folder).collect())))
+        largest = table.agg({"n_docs": "max"}).first()[0]
+    assert found[0] == found[1] and largest < 200
+
+
 def test_pieces_join_to_the_text():
     rnd = random.Random(6)
     for _ in range(2000):
         t = "".join(rnd.choice("ab  \n\t.\x1c ") for _ in range(rnd.randint(0, 30)))
         assert "".join(pieces(t)) == t
+        assert "".join(word_pieces(t)) == t
 
 
 def test_bpe_equals_tiktoken():
