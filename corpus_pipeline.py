@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns
 of documents; run() writes each result as Parquet and reads it back for the next stage. Rows without
-an id cannot be addressed by a decision and stay; rows that share an id share its decisions.
+an id cannot be addressed by a decision and stay; rows that share an id share its decisions. A null
+text is empty, an empty table stays empty, texts are treated whole; columns besides doc_id, text, lang
+and n_chars are carried along untouched.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowpanel.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from flowpanel.llm.common import cut, documents, release
+from flowpanel.llm.common import cut, release
 
 # SQL cannot express the stages (calibrated cutoffs, MinHash, tokenization); tests use brute force.
 ORACLE_SQL = None
@@ -25,7 +27,10 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; cutoffs come from the labels of the documents."""
+    """Documents that the quality rules reject go; cutoffs come from the labels of the documents.
+
+    The base rules reject documents without words, null and empty texts among them.
+    """
     stats = cut(quality_rules.statistics(docs), "pipeline-statistics")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     cutoffs = cut(quality_rules.thresholds(stats, labels), "pipeline-cutoffs")
@@ -33,29 +38,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and near-repeated lines go; n_chars follows the text."""
+    """Repeated and near-repeated lines go; n_chars follows the text.
+
+    A document that had lines and loses all of them goes, as they stand in the documents that keep
+    them. Documents without a word stay as they are. Null texts, empty tables and rows without an id
+    pass through; rows that repeat an id lose the same lines.
+    """
     kept = line_dedup.dedup(docs)
+    left = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = kept.where((F.col("n_removed") == 0) | left)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return kept.select(docs.columns)
 
 
-def _emptied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids that have no word left though their input had some: line dedup kept their lines elsewhere."""
-    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    bare = docs.groupBy("doc_id").agg(F.max(worded).alias("worded")).where("not worded").select("doc_id")
-    return documents(spark, sf_dir).where(worded).join(bare, "doc_id", "left_semi").select("doc_id")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of similar documents, the one with the least id stays.
-
-    Copies are similar to nothing once their lines are gone; they go too. Documents that were empty
-    in the input stay.
-    """
-    alike = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id")
-    return _without(docs, alike.unionByName(_emptied(spark, docs, sf_dir)), "pipeline-duplicates")
+    """Of every group of similar documents, the one with the least id stays; so do those without a word."""
+    return _without(docs, ngram_join.join(docs).where("component_id <> doc_id"), "pipeline-duplicates")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
