@@ -112,7 +112,7 @@ def _encoder(tokenizer, code: str) -> Callable[[list[str]], list[bytes]]:
     if not _byte_level(tokenizer):
         return lambda texts: [as_bytes(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    matches, letters, model = regex.compile(BYTE_LEVEL).findall, _byte_letters(), tokenizer.model
+    letters, model = _byte_letters(), tokenizer.model
     added = {a.content: i for i, a in tokenizer.get_added_tokens_decoder().items()}
     known: dict[str, bytes] = {}
 
@@ -127,11 +127,22 @@ def _encoder(tokenizer, code: str) -> Callable[[list[str]], list[bytes]]:
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > TABLE_PIECES // 2:
             known.clear()
-        return [as_bytes([added[t]]) if t in added else b"".join(map(of_match, matches(t))) for t in texts]
+        return [as_bytes([added[t]]) if t in added else b"".join(map(of_match, _matches(t))) for t in texts]
 
     return encode
 
 
+_BYTE_LEVEL = regex.compile(BYTE_LEVEL)
+
+
+def _matches(piece: str) -> list[str]:
+    """The matches of the byte-level pattern in a piece; a word, or one before marks, is told without it."""
+    word = piece.rstrip(".,;:!?")
+    if (word[1:] if word[:1] == " " else word).isalpha():
+        return [word] if len(word) == len(piece) else [word, piece[len(word) :]]
+    return _BYTE_LEVEL.findall(piece)
+
+
 def _table(path: str, width: int) -> PieceTable:
     """The pieces' table of a tokenizer file, one per worker process and bytes of an id."""
     if (path, width) not in _TABLES:

@@ -202,6 +202,13 @@ def test_pieces_join_to_the_text():
         assert "".join(word_pieces(t)) == t
 
 
+def test_matches_of_a_piece_are_those_of_the_pattern():
+    rnd = random.Random(16)
+    for _ in range(20_000):
+        piece = "".join(rnd.choice(["a", "B", "é", "ß", "中", "ª", "²", "Ⅷ", "7", "'s", "'", ".", ",", "!", "-", "_", "\u0301", " "]) for _ in range(rnd.randint(1, 6)))
+        assert token_files._matches(piece) == token_files._BYTE_LEVEL.findall(piece), piece
+
+
 def test_bpe_equals_tiktoken():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ours = bpe.loaded(path, public_tokenizers.PATTERN)
