@@ -41,7 +41,7 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 # Fixed value: the pattern of byte-level tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Pieces kept by a worker, and half as many matches; the results do not depend on it.
-TABLE_PIECES = 600_000
+TABLE_PIECES = 1_000_000
 LEAST = -(1 << 63)  # stands for a null id in the index
 _TABLES: dict[tuple[str, int], PieceTable] = {}
 
@@ -127,7 +127,14 @@ def _encoder(tokenizer, code: str) -> Callable[[list[str]], list[bytes]]:
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) > TABLE_PIECES // 2:
             known.clear()
-        return [as_bytes([added[t]]) if t in added else b"".join(map(of_match, _matches(t))) for t in texts]
+        out = []
+        for t in texts:
+            if t in added:
+                out.append(as_bytes([added[t]]))
+                continue
+            own = _matches(t)
+            out.append(of_match(own[0]) if len(own) == 1 else b"".join(map(of_match, own)))
+        return out
 
     return encode
 
