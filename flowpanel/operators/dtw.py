@@ -43,20 +43,21 @@ def to_histories(
 ) -> DataFrame:
     """Whole histories in blocks: `keys, block, seq`, at most `steps` values in a row, in time order.
 
-    Rows are numbered by day counts, so no task sorts a history; repeated times count by value.
+    A day's values are one array and days are placed by the counts before them, so no task sorts a history, and whole
+    days move, not rows; repeated times count by value.
     """
-    whole = df.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v"))
-    day = whole.withColumn("_day", F.to_date("_t"))
-    counts = day.groupBy(*keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    whole = df.select(*keys, F.col(time).alias("_t"), F.col(value).alias("_v")).withColumn("_day", F.to_date("_t"))
+    days = whole.groupBy(*keys, "_day").agg(F.sort_array(F.collect_list(F.struct("_t", "_v"))).getField("_v").alias("_vs"))
     before = Window.partitionBy(*keys).orderBy(F.col("_day").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_day").alias("_d"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    same = F.col("_day").eqNullSafe(F.col("_d"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_day").orderBy("_t", "_v")) - 1
-    placed = day.withColumn("_i", inside).join(offsets, same).withColumn("_pos", F.col("_offset") + F.col("_i"))
-    return placed.groupBy(*keys, F.floor(F.col("_pos") / steps).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_v"))).getField("_v").alias("seq"))
+    placed = days.withColumn("_from", F.coalesce(F.sum(F.size("_vs")).over(before), F.lit(0)))
+    placed = placed.withColumn("_to", F.col("_from") + F.size("_vs"))
+    blocks = F.sequence(F.floor(F.col("_from") / steps), F.floor((F.col("_to") - 1) / steps))
+    parts = placed.withColumn("block", F.explode(blocks))
+    first = F.greatest(F.col("_from"), F.col("block") * steps)
+    last = F.least(F.col("_to"), (F.col("block") + 1) * steps)
+    part = F.slice("_vs", (first - F.col("_from") + 1).cast("int"), (last - first).cast("int"))
+    joined = F.sort_array(F.collect_list(F.struct(first.alias("_at"), part.alias("_part"))))
+    return parts.groupBy(*keys, "block").agg(F.flatten(joined.getField("_part")).alias("seq"))
 
 
 def history_distances(
