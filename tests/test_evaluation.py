@@ -15,6 +15,7 @@ from flowpanel import schemas
 from flowpanel.functions import hashing, kernels
 from flowpanel.operators import adversarial, compare, dtw, generative, sampling, stats
 from flowpanel.plans import ranks
+from flowpanel.session import spread
 from flowpanel.sources import files, panel, readings
 from flowpanel.streaming.ingest import incremental_ingest
 
@@ -104,6 +105,14 @@ def test_dba_of_equal_sequences_is_the_sequence(spark):
     assert [r["value"] for r in got] == [1.0, 2.0, 7.0, 2.0]
 
 
+def test_equal_sequences_are_spread_after_their_grouping(spark, tmp_path):
+    rows = spark.range(400).select((F.col("id") % 2).alias("source"), F.array(F.col("id") % 200).alias("seq"))
+    equal = rows.groupBy("source", "seq").agg(F.count(F.lit(1)).alias("weight"))
+    spread(equal, "source", "seq").write.parquet(str(tmp_path / "spread"))
+    files = spark.read.parquet(str(tmp_path / "spread")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 4 and sum(r["count"] for r in files) == 200
+
+
 def test_dba_is_independent_of_partitions_and_equals_one_round_by_hand(spark):
     seqs = dtw.to_sequences(traces(spark))
     a = dtw.dba_archetype(seqs.repartition(1)).orderBy("source", "step").collect()
