@@ -9,11 +9,15 @@ BLOCK_CELLS = 32768
 BLOCK_MOVES = 1 << 26
 
 
-def _blocks(rows, n, m, band, keep_steps=False):
+def block_size(n, m, band, keep_steps=False):
+    """Pairs of sequences of n and m steps in a block."""
     widest = min(n, m) if band is None else min(n, m, band + 1)
     size = max(16, BLOCK_CELLS // widest)
-    if keep_steps:
-        size = max(1, min(size, BLOCK_MOVES // ((n + m) * widest)))
+    return max(1, min(size, BLOCK_MOVES // ((n + m) * widest))) if keep_steps else size
+
+
+def _blocks(rows, n, m, band, keep_steps=False):
+    size = block_size(n, m, band, keep_steps)
     return [rows[k : k + size] for k in range(0, len(rows), size)]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +177,8 @@ def dba_archetype(
 
     Sequences stay where they are, equal ones as one with a weight. The centroids are a table: in
     each round those that still move are joined to their sequences, one sum and count per step comes
-    back from every task, and the new centroids are written. A key is done when no step moved by
+    back from every block of sequences, and the new centroids are written. Blocks are formed once, dealt
+    to all tasks and added in their order: ties of the paths hang on the last bits of a sum. A key is done when no step moved by
     `tolerance`; `rounds` says how many rounds it took. The first centroid is the sequence with the
     smallest seeded hash.
     """
@@ -184,31 +186,56 @@ def dba_archetype(
     start = typed.groupBy(*keys).agg(F.min_by("seq", F.struct(hash_key(seed, *keys, seq_id), F.col(seq_id))).alias("centroid"))
     start = start.where(F.size("centroid") > 0)
     equal = typed.groupBy(*keys, "seq").agg(F.count(F.lit(1)).alias("weight"))
-    kept = materialize(spread(equal, *keys, "seq"), "dba-sequences")
+    grouped = materialize(equal, "dba-grouped")
     current = materialize(start.withColumns({"rounds": F.lit(0).cast("bigint"), "done": F.lit(iterations <= 0)}), "dba-centroids")
-    key_schema = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
-    sums_of = kernels.barycenter_sums
-    names = list(keys)
+    key_schema = ", ".join(f"{k} {grouped.schema[k].dataType.simpleString()}" for k in keys)
+    sums_of, size_of = kernels.barycenter_sums, kernels.block_size
+    names, block = list(keys), ["_part", "_batch", "_block"]
+
+    def number(batches):
+        for k, batch in enumerate(batches):
+            batch["_m"] = [0 if s is None else len(s) for s in batch["seq"]]
+            numbers, first = pd.Series(-1, index=batch.index), 0
+            for key, rows in batch.groupby([*names, "_m"], sort=False, observed=True, dropna=False):
+                if key[-1]:
+                    own = [first + i // size_of(rows["_n"].iloc[0], key[-1], band, keep_steps=True) for i in range(len(rows))]
+                    numbers.loc[rows.index] = own
+                    first = own[-1] + 1
+            numbered = batch.assign(_part=TaskContext.get().partitionId(), _batch=k, _block=numbers, _at=range(len(batch)))
+            yield numbered.loc[numbers >= 0, [*names, "seq", "weight", *block, "_at"]]
+
+    lengths = current.select(*keys, F.size("centroid").alias("_n"))
+    numbered = grouped.join(lengths, names).mapInPandas(
+        number, f"{key_schema}, seq array<double>, weight bigint, _part int, _batch int, _block int, _at int")
+    kept = materialize(spread(numbered, *block).sortWithinPartitions(*block, "_at"), "dba-sequences")
+    discard(grouped)
+
+    def sums_by_block(rows):
+        for key, own in rows.groupby([*names, *block], sort=False, observed=True, dropna=False):
+            total, count = sums_of(own["seq"].tolist(), own["centroid"].iloc[0], band, own["weight"].to_numpy())
+            out = {k: [key[i]] * len(total) for i, k in enumerate([*names, *block])}
+            yield pd.DataFrame({**out, "step": range(len(total)), "total": total, "n": count})
 
     def partial(batches):
-        totals = {}
+        held = None  # the block that the next batch may go on with
         for batch in batches:
-            for key, rows in batch.groupby(names, sort=False, observed=True, dropna=False):
-                total, count = sums_of(rows["seq"].tolist(), rows["centroid"].iloc[0], band, rows["weight"].to_numpy())
-                if key in totals:
-                    total, count = totals[key][0] + total, totals[key][1] + count
-                totals[key] = (total, count)
-        for key, (total, count) in totals.items():
-            out = {k: [key[i]] * len(total) for i, k in enumerate(names)}
-            yield pd.DataFrame({**out, "step": range(len(total)), "total": total, "n": count})
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(rows):
+                last = (rows[block] == rows[block].iloc[-1]).all(axis=1)
+                yield from sums_by_block(rows[~last])
+                held = rows[last]
+        if held is not None:
+            yield from sums_by_block(held)
 
     for _ in range(iterations):
         moving = current.where(~F.col("done"))
         if moving.isEmpty():
             break
         rows = kept.join(moving.select(*keys, "centroid"), names)
-        sums = rows.mapInPandas(partial, f"{key_schema}, step int, total double, n bigint")
-        means = sums.groupBy(*keys, "step").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        sums = rows.mapInPandas(partial, f"{key_schema}, _part int, _batch int, _block int, step int, total double, n bigint")
+        ordered = F.sort_array(F.collect_list(F.struct(*block, "total")))
+        total = F.aggregate(ordered, F.lit(0.0), lambda a, own: a + own["total"])
+        means = sums.groupBy(*keys, "step").agg(total.alias("total"), F.sum("n").alias("n"))
         steps = moving.select(*keys, F.posexplode("centroid").alias("step", "old")).join(means, [*names, "step"], "left")
         value = F.when(F.col("n") > 0, F.col("total") / F.col("n")).otherwise(F.col("old"))
         moved = steps.select(*keys, "step", value.alias("value"), F.abs(value - F.col("old")).alias("by")).groupBy(*keys).agg(

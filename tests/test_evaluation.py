@@ -113,6 +113,24 @@ def test_equal_sequences_are_spread_after_their_grouping(spark, tmp_path):
     assert len(files) == 4 and sum(r["count"] for r in files) == 200
 
 
+def test_dba_deals_its_sequences_to_several_tasks(spark, monkeypatch):
+    kept, materialize = {}, dtw.materialize
+
+    def noted(df, name):
+        back = materialize(df, name)
+        if name == "dba-sequences":
+            kept["files"] = back.select(F.input_file_name().alias("f")).distinct().count()
+            kept["rows"] = back.count()
+        return back
+
+    monkeypatch.setattr(dtw, "materialize", noted)
+    seqs = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, "Real").otherwise("Synthetic").alias("source"), F.col("id").cast("string").alias("home_id"),
+        F.sequence(F.col("id"), F.col("id") + 95).alias("seq"))
+    got = dtw.dba_archetype(seqs, iterations=1).collect()
+    assert len(got) == 192 and kept["rows"] == 3000 and kept["files"] > 1
+
+
 def test_dba_is_independent_of_partitions_and_equals_one_round_by_hand(spark):
     seqs = dtw.to_sequences(traces(spark))
     a = dtw.dba_archetype(seqs.repartition(1)).orderBy("source", "step").collect()
