@@ -13,6 +13,7 @@ from flowpanel.functions.ids import id_strip_zeros
 from flowpanel.operators.access import nonzero_usage
 from flowpanel.operators.stats import mean_by
 from flowpanel.plans.ranks import dense_position, exact_quantile, value_bucket
+from flowpanel.sources.readings import longer_blocks
 
 REAL, SYNTHETIC = "Real", "Synthetic"
 
@@ -49,7 +50,10 @@ def pivot_longer(df: DataFrame, keys: list[str], names: str, values: str) -> Dat
     return df.select(*keys, F.inline(pairs).alias(names, values))
 
 
-def pivot_longer_traces(wide: DataFrame, time: str = "date_time") -> DataFrame:
+def pivot_longer_traces(wide: DataFrame, time: str = "date_time", names: DataFrame | None = None) -> DataFrame:
+    """Wide traces as rows, empty readings included; a table in blocks brings its `names`."""
+    if names is not None:
+        return longer_blocks(wide, names, time).select(time, F.col("series_id").alias("home_id"), "usage")
     return pivot_longer(wide, [time], "home_id", "usage")
 
 
