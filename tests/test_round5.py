@@ -29,7 +29,7 @@ def test_paths_are_hashed_once_per_file(spark, tmp_path):
     assert got == {"a b+c", "other"}
 
 
-def test_wide_readings_in_blocks_hold_the_same_rows(spark, tmp_path):
+def test_wide_readings_in_blocks_hold_the_same_rows(spark, tmp_path, monkeypatch):
     step = dt.timedelta(minutes=15)
     ids = [*[f"{k:010d}A" for k in range(7)], None]
     # Every series lacks another time, all but one the last; one reading comes twice, one is empty.
@@ -42,7 +42,7 @@ def test_wide_readings_in_blocks_hold_the_same_rows(spark, tmp_path):
         want[key] = v if want.get(key) is None else max(want[key], v)
     names = readings.name_columns(long, columns=3)
     assert sorted(r["slot"] for r in names.where("block < 2").collect()) == [0, 0, 1, 1, 2, 2]
-    readings.to_wide(long, names, 3).write.parquet(str(tmp_path / "w"))
+    readings.to_wide(long, names).write.parquet(str(tmp_path / "w"))
     wide = spark.read.parquet(str(tmp_path / "w"))
     assert wide.columns == ["date_time", "block", "s0", "s1", "s2"]
     times = {t for _, t, _ in rows}
@@ -58,3 +58,9 @@ def test_wide_readings_in_blocks_hold_the_same_rows(spark, tmp_path):
     pairs = compare.pivot_longer_traces(wide, names=names).collect()
     assert len(pairs) == len(ids) * len(times)
     assert all(r["usage"] == want.get((r["home_id"], r["date_time"])) for r in pairs)
+    executed = readings.longer_blocks(wide, names)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in executed and "BuildRight" in executed
+    monkeypatch.setattr(readings, "BROADCAST_NAMES", 2)
+    sorted_by_block = readings.unpivot_readings(wide, names=names)
+    assert "SortMergeJoin" in sorted_by_block._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["series_id"], r["meter_id"], r["date_time"], r["usage"]) for r in sorted_by_block.collect()) == full
