@@ -66,25 +66,50 @@ def history_distances(
 ) -> DataFrame:
     """`pair_id, distance` of pairs of whole histories, put together only where a pair is warped.
 
-    `pairs` has the pair and the keys of both ends, suffixed _a and _b. The blocks of a pair meet in
-    one group, the size of its two histories; the band keeps the warping linear in their length.
+    `pairs` has the pair and the keys of both ends, suffixed _a and _b. The blocks of a pair arrive one after the
+    other; the pairs of an Arrow batch are warped together, and one pair alone is the most that is kept beside them.
+    The band keeps the warping linear in their length.
     """
     distances = kernels.dtw_distances
     ends = []
     for side in "ab":
         own = pairs.select(pair_id, *[F.col(f"{k}_{side}").alias(k) for k in keys])
-        ends.append(own.join(histories, list(keys)).select(pair_id, F.lit(side).alias("side"), "block", "seq"))
+        ends.append(own.join(histories, list(keys)).select(
+            pair_id, F.lit(side).alias("side"), "block", F.col("seq").cast("array<double>").alias("seq")))
 
-    def warp(rows: pd.DataFrame) -> pd.DataFrame:
+    def warp(batches):
         import numpy as np
-
-        ordered = rows.sort_values("block")
-        a, b = (np.concatenate([np.empty(0), *ordered.loc[ordered["side"] == side, "seq"]]) for side in "ab")
-        return pd.DataFrame({pair_id: [rows[pair_id].iloc[0]], "distance": distances([a], [b], band)})
+        import pyarrow as pa
+
+        def whole(rows, codes, first):
+            parts = [([], []) for _ in first]
+            side, seq = rows["side"].to_pylist(), rows["seq"].combine_chunks()
+            offsets, values = seq.offsets.to_numpy(), seq.values.to_numpy(zero_copy_only=False)
+            for k, code in enumerate(codes):
+                parts[code][side[k] == "b"].append(values[offsets[k] : offsets[k + 1]])
+            a, b = ([np.concatenate([np.empty(0), *own[k]]) for own in parts] for k in (0, 1))
+            ids = rows[pair_id].combine_chunks().take(pa.array(first))
+            return pa.RecordBatch.from_arrays([ids, pa.array(distances(a, b, band), from_pandas=True)], [pair_id, "distance"])
+
+        held = None  # the pair that the next batch may go on with
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not len(rows):
+                continue
+            # Pairs are numbered in the order in which they come.
+            codes = rows[pair_id].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            first = np.unique(codes, return_index=True)[1]
+            last = int(first[-1])
+            if last:
+                yield whole(rows.slice(0, last), codes[:last], first[:-1])
+            held = rows.slice(last)
+        if held is not None and len(held):
+            yield whole(held, np.zeros(len(held), dtype=int), np.zeros(1, dtype=int))
 
     kind = pairs.schema[pair_id].dataType.simpleString()
-    found = ends[0].unionByName(ends[1]).groupBy(pair_id).applyInPandas(warp, f"{pair_id} {kind}, distance double")
-    return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+    blocks = spread(ends[0].unionByName(ends[1]), pair_id).sortWithinPartitions(pair_id, "side", "block")
+    return blocks.mapInArrow(warp, f"{pair_id} {kind}, distance double")
 
 
 def dtw_distance(left, right, band: int | None = BAND) -> Column:

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 
 from flowpanel.functions import kernels
+from flowpanel.operators import dtw
 
 
 def test_paths_of_a_block_keep_their_moves_once():
@@ -29,3 +30,36 @@ def test_pairs_of_similar_lengths_are_warped_together(monkeypatch):
     assert len(calls) <= 4
     alone = [kernels.dtw_distances([a], [b], 8)[0] for a, b in zip(lefts, rights)]
     assert np.array_equal(together, alone, equal_nan=True) and np.isnan(together).any()
+
+
+def test_histories_of_many_pairs_are_warped_together(spark):
+    rng = np.random.default_rng(7)
+    homes = {(s, str(h)): rng.random(40 + h).round(2) for s in ("Real", "Synthetic") for h in range(12)}
+    blocks = [(s, h, k // 16, v[k : k + 16].tolist()) for (s, h), v in homes.items() for k in range(0, len(v), 16)]
+    histories = spark.createDataFrame(blocks, "source string, home_id string, block bigint, seq array<double>")
+    rows = [(a * 12 + b, "Real", str(a), "Synthetic", str(b)) for a in range(12) for b in range(12)]
+    rows += [(None, "Real", "3", "Synthetic", "4"), (999, "Real", "none", "Synthetic", "4")]
+    pairs = spark.createDataFrame(rows, "pair_id bigint, source_a string, home_id_a string, source_b string, home_id_b string")
+    found = dtw.history_distances(pairs, histories)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    got = {r["pair_id"]: r["distance"] for r in found.collect()}
+    assert len(got) == len(rows) and got.pop(999) is None
+    for i, _, a, _, b in rows[:-1]:
+        want = kernels.dtw_distances([homes["Real", a]], [homes["Synthetic", b]], dtw.BAND)[0]
+        assert got[i] == want or (got[i] is None and np.isnan(want))
+
+
+def test_a_history_longer_than_a_batch(spark):
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(conf)
+    values = np.random.default_rng(8).random((3, 50))
+    blocks = [("x", str(h), k, values[h, k * 5 : k * 5 + 5].tolist()) for h in range(3) for k in range(10)]
+    histories = spark.createDataFrame(blocks, "source string, home_id string, block bigint, seq array<double>")
+    pairs = spark.createDataFrame([(f"{a}{b}", "x", str(a), "x", str(b)) for a in range(3) for b in range(3)],
+                                  "pair_id string, source_a string, home_id_a string, source_b string, home_id_b string")
+    try:
+        spark.conf.set(conf, 3)
+        got = {r["pair_id"]: r["distance"] for r in dtw.history_distances(pairs, histories).collect()}
+    finally:
+        spark.conf.set(conf, kept)
+    assert got == {f"{a}{b}": kernels.dtw_distances([values[a]], [values[b]], dtw.BAND)[0] for a in range(3) for b in range(3)}
