@@ -1,9 +1,13 @@
-"""Round 7: warping in blocks of pairs side by side."""
+"""Warping in blocks of pairs side by side, rounding without decimals, inputs built once."""
 
+import math
+import random
 import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from flowpanel.catalog import registry
 from flowpanel.functions import kernels
 from flowpanel.operators import dtw
 
@@ -63,3 +67,25 @@ def test_a_history_longer_than_a_batch(spark):
     finally:
         spark.conf.set(conf, kept)
     assert got == {f"{a}{b}": kernels.dtw_distances([values[a]], [values[b]], dtw.BAND)[0] for a in range(3) for b in range(3)}
+
+
+def test_fast_rounding_equals_round(spark):
+    rng = random.Random(9)
+    values = [None, 0.0, -0.0, 1e-9, -1e-9, float("nan"), float("inf"), -float("inf"), 1e11, -1e12, 1e300, 5e-324, 123456789.1234565]
+    values += [(rng.randint(-10**8, 10**8) + 0.5) / 10**6 for _ in range(2000)]
+    values += [math.nextafter((rng.randint(-10**7, 10**7) + 0.5) / 10**6, rng.choice([-9e9, 9e9])) for _ in range(2000)]
+    values += [rng.uniform(-1, 1) * 10 ** rng.randint(-9, 14) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (5, 6, 9):
+        both = df.select("v", F.round("v", digits).alias("a"), registry.round_half_up(F.col("v"), digits).alias("b"))
+        bad = both.where(~F.col("a").cast("string").eqNullSafe(F.col("b").cast("string")))
+        assert bad.take(1) == []
+
+
+def test_many_rounded_columns_are_no_single_method(spark):
+    df = spark.range(3).select(*[(F.col("id") / (k + 3)).alias(f"c{k}") for k in range(20)])
+    got = registry.rounded(df)
+    plan = got._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("round(") >= 20 and not plan.getClass().getSimpleName().startswith("WholeStage")
+    want = df.select(*[F.round(F.col(c) + 1e-9, 6).alias(c) for c in df.columns])
+    assert got.collect() == want.collect()
